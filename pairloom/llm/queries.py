@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import related, same_question
+from . import copies, defects, related, same_question
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
     return related.assign_splits(related.related_records(_t(spark, sf, "repo_train"), _t(spark, sf, "contest"))).select("pair_id", "split")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return defects.defective_pairs(_t(spark, sf, "repo_train")).where("defect = 'truncated'").select("pair_id", "field_name")
+
+
+def p2_report(spark: SparkSession, sf: str) -> DataFrame:
+    return defects.truncation_report(_t(spark, sf, "repo_train"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     found = same_question.cross_split_overlaps(_t(spark, sf, "repo_train"), _t(spark, sf, "contest"))
     return found.select(F.least("train_id", "eval_id").alias("pair_id_a"), F.greatest("train_id", "eval_id").alias("pair_id_b"))
@@ -29,6 +37,18 @@ def p3_overlap_report(spark: SparkSession, sf: str) -> DataFrame:
     return same_question.overlap_report(rows, same_question.cross_split_overlaps(rows, _t(spark, sf, "contest")))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return copies.formatting_copies(_t(spark, sf, "repo_train")).where("pair_id <> keep_id").select("keep_id", "pair_id")
+
+
+def p4_collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    return copies.collapse(_t(spark, sf, "repo_train").select("pair_id", "prompt", "chosen", "rejected")).select("pair_id", "copies")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return defects.defective_pairs(_t(spark, sf, "repo_train")).select("pair_id", "field_name", "defect")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 

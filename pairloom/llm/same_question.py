@@ -180,10 +180,11 @@ def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Da
 def class_pairs(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """klass_a, klass_b, edits, coverage of the classes (numbers, klass, words, in_a, in_b) that put the same question.
 
-    One row for each class of side a and class of side b, also of a class with itself.
+    One row for each class of side a and class of side b, of groups of at least two classes; there also of a class with
+    itself.
     """
-    groups = classes.groupBy("numbers").agg(F.sum(F.col("in_a").cast("int")).alias("na"), F.sum(F.col("in_b").cast("int")).alias("nb"))
-    groups = groups.where("na > 0 and nb > 0 and na + nb > 2").select("numbers", F.ceil(F.col("na") / block).cast("int").alias("ba"), F.ceil(F.col("nb") / block).cast("int").alias("bb"))
+    groups = classes.groupBy("numbers").agg(F.sum(F.col("in_a").cast("int")).alias("na"), F.sum(F.col("in_b").cast("int")).alias("nb"), F.count("*").alias("n"))
+    groups = groups.where("na > 0 and nb > 0 and n > 1").select("numbers", F.ceil(F.col("na") / block).cast("int").alias("ba"), F.ceil(F.col("nb") / block).cast("int").alias("bb"))
     rows = classes.join(groups, "numbers")
     a = rows.where("in_a").select("numbers", F.pmod("klass", "ba").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("bb") - 1)).alias("y"), F.lit(0).alias("side"), "klass", "words")
     b = rows.where("in_b").select("numbers", F.explode(F.sequence(F.lit(0), F.col("ba") - 1)).alias("x"), F.pmod("klass", "bb").cast("int").alias("y"), F.lit(1).alias("side"), "klass", "words")
