@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import copies, defects, related, same_question
+from . import copies, defects, leakage, packing, related, same_question
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -49,6 +49,19 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return defects.defective_pairs(_t(spark, sf, "repo_train")).select("pair_id", "field_name", "defect")
 
 
+def p6_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_texts(_t(spark, sf, "documents"))
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    used = p6_packed(spark, sf).groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    return used.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count("*") * packing.CAPACITY)).alias("fill"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked_items(_t(spark, sf, "documents"), _t(spark, sf, "benchmark_item")).select("doc_id", "item_id")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
