@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import copies, defects, leakage, packing, related, same_question
+from . import copies, defects, leakage, packing, related, same_question, sentences
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -62,6 +62,14 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked_items(_t(spark, sf, "documents"), _t(spark, sf, "benchmark_item")).select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_units(_t(spark, sf, "documents")).select("doc_id", "end_pos")
+
+
+def p8_units(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_units(_t(spark, sf, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
