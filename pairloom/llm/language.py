@@ -29,9 +29,9 @@ def words_of(text: str) -> list[str]:
 
 
 def language(text: str, words: list[str] | None = None, least: int = 3) -> str | None:
-    """en, de, es, fr or zh; null if there are too few signs or they disagree."""
-    words = words_of(text) if words is None else words
-    hits = [x for w in words if (x := _OF.get(w))]
+    """en, de, es, fr or zh; null if there are too few signs or they disagree. words: the text's, in lower case."""
+    words = text.lower().split() if words is None else words
+    hits = list(filter(None, map(_OF.get, words)))
     han = len(_HAN.findall(text)) if not text.isascii() else 0
     if han >= 4 and han >= 2 * len(hits):
         return "zh"

@@ -61,15 +61,23 @@ _INVISIBLE = re.compile(r"[​-‏⁠﻿­]")
 _EDGE = " \t\r\n   　"
 
 
+def _may_ask(text: str) -> bool:
+    return any(map(text.lower().__contains__, _NAME_OF))
+
+
 def strip_template(prompt: str) -> str:
     """The prompt without chat marks, system text, fixed instructions and language requests; a null is ''."""
-    text = _INVISIBLE.sub("", prompt or "").strip(_EDGE)
+    text = prompt or ""
+    text = (text if text.isascii() else _INVISIBLE.sub("", text)).strip(_EDGE)
+    asks = _may_ask(text[:120] + text[-120:])
     while True:
-        if m := _HEAD.match(text) or _REQUEST_HEAD.match(text):
+        if (m := _HEAD.match(text)) or asks and (m := _REQUEST_HEAD.match(text)):
             text = text[m.end() :].strip(_EDGE)
             continue
         low = text[-60:]
-        if (m := _TAIL.search(low)) or (m := _REQUEST_TAIL.search(low)):
+        # every tail ends in one of these, a sentence in step. or the answer is:".
+        ends = low[-1:] in ":>]\"”" or low[-2:-1] in "pP\"”:sS"
+        if ends and (m := _TAIL.search(low)) or asks and (m := _REQUEST_TAIL.search(low)):
             text = text[: len(text) - len(low) + m.start()].strip(_EDGE)
             continue
         return text
@@ -77,7 +85,7 @@ def strip_template(prompt: str) -> str:
 
 def requested_language(prompt: str) -> str | None:
     """The language that a prompt asks the answer to be in."""
-    m = _ANY_REQUEST.search(prompt or "")
+    m = _ANY_REQUEST.search(prompt) if prompt and _may_ask(prompt) else None
     name = m and _NAME.search(m.group())
     return _NAME_OF.get(name.group().lower()) if name else None
 
