@@ -83,7 +83,7 @@ def binarise(df: DataFrame, prompt: str, model: str, rating: str) -> DataFrame:
 
 def unpair(df: DataFrame, keep: list[str]) -> DataFrame:
     """chosen rows with label 1 and rejected rows with label 0."""
-    return df.select(*keep, F.explode(F.array(F.struct(F.col("chosen").alias("response"), F.lit(1).alias("label")), F.struct(F.col("rejected"), F.lit(0)))).alias("x")).select(*keep, "x.response", "x.label")
+    return df.select(*keep, F.explode(F.array(F.struct(F.col("chosen").alias("response"), F.lit(1).alias("label")), F.struct(F.col("rejected").alias("response"), F.lit(0).alias("label")))).alias("x")).select(*keep, "x.response", "x.label")
 
 
 def rotated(df: DataFrame, batch: str, ord_: str, response: str, name: str) -> DataFrame:
