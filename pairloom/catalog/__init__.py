@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import grading, io, layout, metrics, pairs, tokens
+from . import extras, grading, io, layout, metrics, pairs, tokens
 
-_PARTS = (pairs, metrics, grading, layout, tokens, io)
+_PARTS = (pairs, metrics, grading, layout, tokens, extras, io)
 
 
 def queries() -> dict:
