@@ -85,9 +85,12 @@ def _few(rows: DataFrame, salts: int) -> bool:
 
 
 def collapse(rows: DataFrame, key: str = "pair_id", fields: tuple[str, ...] = ("prompt", "chosen", "rejected")) -> DataFrame:
-    """rows without all but one record of each class, and copies, the number of records that it stands for."""
+    """rows with one record of each class, and copies, the number of records that it stands for.
+
+    A column copies of the input gives way to this one. Rows of a null key are kept as they are.
+    """
     found = formatting_copies(rows, key, fields)
-    found = found.select(F.col(key).alias("__id"), "keep_id", F.col("copies").alias("__copies"))
+    found = found.select(F.col(key).alias("__id"), F.col("keep_id").alias("__keep"), F.col("copies").alias("__copies"))
     joined = rows.join(found, rows[key] == found["__id"], "left")
-    kept = joined.where(F.col("keep_id").isNull() | (F.col("keep_id") == F.col("__id")))
-    return kept.select(*[rows[c] for c in rows.columns], F.coalesce("__copies", F.lit(1)).cast("bigint").alias("copies"))
+    kept = joined.where(F.col("__keep").isNull() | (F.col("__keep") == F.col("__id")))
+    return kept.select(*[rows[c] for c in rows.columns if c != "copies"], F.coalesce("__copies", F.lit(1)).cast("bigint").alias("copies"))

@@ -157,6 +157,6 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", tex
                 out = [(k, i, *how) for k, t in zip(pdf["k"], pdf["t"]) if t for i, how in index.held(t).items()]
                 yield pd.DataFrame(out, columns=["k", "i", "run", "passage"])
 
-        kinds = dict(docs.dtypes)[doc_key], dict(items.dtypes)[item_key]
-        parts.append(docs.select(F.col(doc_key).alias("k"), F.col(text).alias("t")).mapInPandas(find, f"k {kinds[0]}, i {kinds[1]}, run boolean, passage boolean"))
-    return reduce(DataFrame.unionByName, parts).select(F.col("k").alias(doc_key), F.col("i").alias(item_key), "run", "passage")
+        kind = dict(items.dtypes)[item_key]
+        parts.append(docs.select(F.col(doc_key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(find, f"k string, i {kind}, run boolean, passage boolean"))
+    return reduce(DataFrame.unionByName, parts).select(F.col("k").cast(dict(docs.dtypes)[doc_key]).alias(doc_key), F.col("i").alias(item_key), "run", "passage")

@@ -32,7 +32,8 @@ def token_counts(rows: DataFrame, key: str = "doc_id", text: str = "text", vocab
             yield pd.DataFrame({"k": pdf["k"], "tokens": [len(encoder.encode_ordinary(x)) if x else 0 for x in pdf["t"]]})
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(count, f"k {kind}, tokens bigint").withColumnRenamed("k", key)
+    got = rows.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(count, "k string, tokens bigint")
+    return got.select(F.col("k").cast(kind).alias(key), "tokens")
 
 
 class Bins:
@@ -84,7 +85,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, open_b
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     tasks = max(1, round(total / (capacity * CONTAINERS_PER_TASK)))
     order = F.xxhash64(F.col(key).cast("string"))
-    items = sizes.where("tokens > 0").select(F.col(key).alias("k"), "tokens", order.alias("h")).withColumn("task", F.pmod("h", F.lit(tasks)).cast("int"))
+    items = sizes.where("tokens > 0").select(F.col(key).cast("string").alias("k"), "tokens", F.coalesce(order, F.lit(0)).alias("h")).withColumn("task", F.pmod("h", F.lit(tasks)).cast("int"))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins: Bins | None = None
@@ -104,8 +105,8 @@ def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, open_b
             yield pd.DataFrame(out, columns=["k", "piece", "container", "place", "offset", "tokens"])
 
     kind = dict(sizes.dtypes)[key]
-    got = items.repartition(tasks, "task").sortWithinPartitions("task", "h", "k", "tokens").mapInPandas(fill, f"k {kind}, piece int, container bigint, place int, offset int, tokens int")
-    return got.withColumnRenamed("k", key)
+    got = items.repartition(tasks, "task").sortWithinPartitions("task", "h", "k", "tokens").mapInPandas(fill, "k string, piece int, container bigint, place int, offset int, tokens int")
+    return got.select(F.col("k").cast(kind).alias(key), "piece", "container", "place", "offset", "tokens")
 
 
 def pack_texts(rows: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:

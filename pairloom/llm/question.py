@@ -75,8 +75,9 @@ def strip_template(prompt: str) -> str:
             text = text[m.end() :].strip(_EDGE)
             continue
         low = text[-60:]
-        # every tail ends in one of these, a sentence in step. or the answer is:".
-        ends = low[-1:] in ":>]\"”" or low[-2:-1] in "pP\"”:sS"
+        # every tail ends in one of these signs or names a step or an answer
+        last = low[-30:].lower()
+        ends = last[-1:] in ":>]" or "step" in last or "answer" in last or "assistant" in last
         if ends and (m := _TAIL.search(low)) or asks and (m := _REQUEST_TAIL.search(low)):
             text = text[: len(text) - len(low) + m.start()].strip(_EDGE)
             continue

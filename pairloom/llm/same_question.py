@@ -64,9 +64,11 @@ def word_rows(rows: DataFrame, contests: DataFrame | None = None) -> DataFrame:
                 pdf[name] = pd.Series([x[i] for x in out], index=pdf.index, dtype=kind)
             yield pdf
 
-    kept = rows.select("pair_id", "split", "data_source", "data_id", "prompt")
-    schema = "pair_id bigint, split string, data_source string, data_id bigint, credit string, numbers bigint, klass bigint, words string"
-    return kept.withColumn("data_id", F.col("data_id").cast("bigint")).mapInPandas(parse, schema)
+    # ids travel as text: a null among integers would turn a batch into floating point
+    ids = [F.col(c).cast("bigint").cast("string").alias(c) for c in ("pair_id", "data_id")]
+    kept = rows.select(*ids, "split", "data_source", "prompt")
+    schema = "pair_id string, data_id string, split string, data_source string, credit string, numbers bigint, klass bigint, words string"
+    return kept.mapInPandas(parse, schema).withColumns({c: F.col(c).cast("bigint") for c in ("pair_id", "data_id")})
 
 
 def winnow(words: list[str]) -> list[tuple[int, int]]:
