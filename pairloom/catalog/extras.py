@@ -81,7 +81,7 @@ def token_remap(s, sf):
     return e.join(v, "event_type").select("event_id", "new_id")
 
 
-@C.add("""SELECT vec_id, CAST(len(embedding) - 1 AS INT) AS n, round(embedding[2], 6) AS first_label, round(embedding[-2], 6) AS last_input FROM embeddings""")
+@C.add("""SELECT vec_id, CAST(len(embedding) - 1 AS INT) AS n, round(CAST(embedding[2] AS DOUBLE), 6) AS first_label, round(CAST(embedding[-2] AS DOUBLE), 6) AS last_input FROM embeddings""")
 def shifted_labels(s, sf):
     x = F.col("embedding")
     lab, inp = F.slice(x, F.lit(2), F.size(x) - 1), F.slice(x, F.lit(1), F.size(x) - 1)
