@@ -91,7 +91,9 @@ def balanced_boxed(s, sf):
     return d.select("pair_id", F.array_join(T.balanced_boxed("chosen"), "|").alias("boxed"))
 
 
-@C.add(r"""SELECT pair_id, CASE WHEN regexp_matches(chosen, 'The answer is: [^\n]+$') OR regexp_matches(chosen, '\\boxed\{[^{}]*\}') THEN regexp_replace(chosen, '\s+$', '') || ' </s>' ELSE chosen END AS text FROM repo_train WHERE regexp_matches(chosen, '^[\x00-\x7F]*$')""")
+_WHITE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@C.add(rf"""SELECT pair_id, CASE WHEN regexp_matches(chosen, 'The answer is: [^\n]+\n?$') OR regexp_matches(chosen, '\\boxed\{{[^{{}}]*\}}') THEN regexp_replace(chosen, '{_WHITE}+$', '') || ' </s>' ELSE chosen END AS text FROM repo_train""")
 def eos_append(s, sf):
-    d = table(s, sf, "repo_train").where(F.col("chosen").rlike(r"(?s)\A[\x00-\x7F]*\z"))
-    return d.select("pair_id", T.with_eos(F.col("chosen")).alias("text"))
+    return table(s, sf, "repo_train").select("pair_id", T.with_eos(F.col("chosen")).alias("text"))

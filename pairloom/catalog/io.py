@@ -92,3 +92,8 @@ def session_windows(s, sf):
     d = table(s, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     w = d.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
     return w.groupBy("user_id").agg(F.count("*").alias("sessions"))
+
+
+@C.add("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 16""")
+def stream_fifo(s, sf):
+    return jobs.fifo(s, f"{sf}/events.parquet", "user_id", "event_id", 16, _folder(s))

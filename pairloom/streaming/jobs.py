@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _stream(spark: SparkSession, path: str) -> DataFrame:
@@ -44,3 +48,25 @@ def resumed(spark: SparkSession, path: str, key: list[str], folder: str) -> Data
         q = d.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         q.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(*key).distinct()
+
+
+def fifo(spark: SparkSession, path: str, key: str, order: str, limit: int, folder: str) -> DataFrame:
+    """key, order: the last limit values of order of each key of a stream, in a bounded state that evicts the oldest."""
+
+    def keep(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        xs = list(state.get[0]) if state.exists else []
+        for pdf in batches:
+            xs = sorted([*xs, *pdf["o"].tolist()])[-limit:]
+        state.update((xs,))
+        yield pd.DataFrame({"k": [k[0]], "xs": [xs]})
+
+    d = _stream(spark, path).select(F.col(key).cast("bigint").alias("k"), F.col(order).cast("bigint").alias("o"))
+    kept = d.groupBy("k").applyInPandasWithState(keep, "k bigint, xs array<bigint>", "xs array<bigint>", "update", GroupStateTimeout.NoTimeout)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    q = kept.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = spark.read.parquet(f"{folder}/out").groupBy("k").agg(F.max_by("xs", "batch").alias("xs"))
+    return last.select(F.col("k").alias(key), F.explode("xs").alias(order))
