@@ -17,6 +17,8 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.spread import spread
+
 RUN, SHARE = 13, 0.75
 #: Items of one block.
 BLOCK = 20_000
@@ -38,7 +40,7 @@ def document_frequency(docs: DataFrame, text: str, vocabulary: set[str]) -> Coun
                     n.update(vocabulary.intersection(words(t)))
         yield pd.DataFrame({"w": list(n.keys()), "n": list(n.values())}).astype({"w": object, "n": "int64"})
 
-    got = docs.select(F.col(text).alias("t")).mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    got = spread(docs.select(F.col(text).alias("t"))).mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     return Counter({r[0]: r[1] for r in got.collect()})
 
 
@@ -158,5 +160,5 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", tex
                 yield pd.DataFrame(out, columns=["k", "i", "run", "passage"])
 
         kind = dict(items.dtypes)[item_key]
-        parts.append(docs.select(F.col(doc_key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(find, f"k string, i {kind}, run boolean, passage boolean"))
+        parts.append(spread(docs.select(F.col(doc_key).cast("string").alias("k"), F.col(text).alias("t"))).mapInPandas(find, f"k string, i {kind}, run boolean, passage boolean"))
     return reduce(DataFrame.unionByName, parts).select(F.col("k").cast(dict(docs.dtypes)[doc_key]).alias(doc_key), F.col("i").alias(item_key), "run", "passage")

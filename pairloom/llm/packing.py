@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.lineage import materialise
+from ..plans.spread import spread
 
 #: Fixed value: how the public byte-level vocabulary cuts texts before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -32,7 +33,7 @@ def token_counts(rows: DataFrame, key: str = "doc_id", text: str = "text", vocab
             yield pd.DataFrame({"k": pdf["k"], "tokens": [len(encoder.encode_ordinary(x)) if x else 0 for x in pdf["t"]]})
 
     kind = dict(rows.dtypes)[key]
-    got = rows.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(count, "k string, tokens bigint")
+    got = spread(rows.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))).mapInPandas(count, "k string, tokens bigint")
     return got.select(F.col("k").cast(kind).alias(key), "tokens")
 
 

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.lineage import materialise
+from ..plans.spread import spread
 from .question import Credits, is_number, strip_template, tokens
 
 MAX_EDITS = 4
@@ -66,7 +67,7 @@ def word_rows(rows: DataFrame, contests: DataFrame | None = None) -> DataFrame:
 
     # ids travel as text: a null among integers would turn a batch into floating point
     ids = [F.col(c).cast("bigint").cast("string").alias(c) for c in ("pair_id", "data_id")]
-    kept = rows.select(*ids, "split", "data_source", "prompt")
+    kept = spread(rows.select(*ids, "split", "data_source", "prompt"))
     schema = "pair_id string, data_id string, split string, data_source string, credit string, numbers bigint, klass bigint, words string"
     return kept.mapInPandas(parse, schema).withColumns({c: F.col(c).cast("bigint") for c in ("pair_id", "data_id")})
 
