@@ -40,15 +40,16 @@ def related_records(rows: DataFrame, contests: DataFrame) -> DataFrame:
     has one. A record without question, data_id and credit is a component of its own, with a null component.
     """
     words = materialise(word_rows(rows, contests), "words")
-    node = F.coalesce("klass", F.xxhash64(F.lit("data_id"), "data_id"), F.xxhash64(F.lit("credit"), "credit"))
-    node = F.when(F.coalesce(F.col("klass").cast("string"), F.col("data_id").cast("string"), F.col("credit")).isNotNull(), F.when(F.col("klass").isNotNull(), F.col("klass")).when(F.col("data_id").isNotNull(), F.xxhash64(F.lit("data_id"), "data_id")).otherwise(F.xxhash64(F.lit("credit"), "credit")))
+    # a record stands for its wording; without one for its data_id, then for its credit
+    by_id, by_credit = F.xxhash64(F.lit("data_id"), "data_id"), F.xxhash64(F.lit("credit"), "credit")
+    node = F.when(F.col("klass").isNotNull(), F.col("klass")).when(F.col("data_id").isNotNull(), by_id).when(F.col("credit").isNotNull(), by_credit)
     ties = words.select(node.alias("node"), "data_id", "credit").where("node is not null").groupBy("node", "data_id", "credit").agg(F.count("*").alias("n"))
     ties = materialise(ties, "ties")
     yes = F.lit(True)
     found = class_pairs(classes_of(words, yes, yes)).where("klass_a < klass_b").select(F.col("klass_a").alias("u"), F.col("klass_b").alias("v"))
     edges = (
-        ties.where("data_id is not null").select(F.col("node").alias("u"), F.xxhash64(F.lit("data_id"), "data_id").alias("v"))
-        .unionByName(ties.where("credit is not null").select(F.col("node").alias("u"), F.xxhash64(F.lit("credit"), "credit").alias("v")))
+        ties.where("data_id is not null").select(F.col("node").alias("u"), by_id.alias("v"))
+        .unionByName(ties.where("credit is not null").select(F.col("node").alias("u"), by_credit.alias("v")))
         .unionByName(found)
         .unionByName(ties.select(F.col("node").alias("u"), F.col("node").alias("v")))
     )
@@ -60,7 +61,7 @@ def related_records(rows: DataFrame, contests: DataFrame) -> DataFrame:
     return out.select("pair_id", F.col("root").alias("component"), F.coalesce("members", F.lit(1)).cast("bigint").alias("members"), "lead_data_id")
 
 
-#: Sums are taken exactly up to this many bits; beyond it sizes are rounded down to a unit and the rest filled up.
+#: Sums are taken exactly up to this many bits; beyond it multiples of sizes are rounded down to a unit.
 MOST_BITS = 1 << 24
 
 
