@@ -117,23 +117,35 @@ def structure_odds(values: DataFrame) -> dict[str, float]:
     return {s: float(np.log((max(r["end_" + s] - 1, 0) + 0.5) / ((r[s] or 0) + 0.5))) for s in terminal.STRUCTURES}
 
 
-def end_model(rows: DataFrame, values: DataFrame) -> tuple[list[pd.Series], list[pd.Series], list[int], float]:
-    """Counts by key of ends and continuations for the contexts that end some value, key shifts, the share of ends.
+def _bitmaps(at: DataFrame, orders: list[int]) -> dict[int, np.ndarray]:
+    """For terminal.Perhaps: the bits of the keys of each order, made in parts of 4096 bytes."""
+    out = {k: np.zeros(1 << terminal.FILTER_BITS - 3, np.uint8) for k in orders}
+    # places are counted from 1 there
+    place = F.shiftright("key", 63 - terminal.FILTER_BITS) + 1
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position("place"))
+    for k, part, b in at.where(F.col("k").isin(orders)).select("k", place.alias("place")).groupBy("k", F.bitmap_bucket_number("place")).agg(bits).collect():
+        out[k][(part - 1) * len(b) : part * len(b)] = np.frombuffer(b, np.uint8)
+    return out
+
 
-    An order with more than 2**BITS different contexts is counted in that many buckets: what reaches the driver and the
-    tasks is bounded, and every end and continuation is counted all the same.
+def end_model(rows: DataFrame, values: DataFrame) -> tuple[dict[int, pd.Series], dict[int, pd.Series], dict[int, DataFrame], float]:
+    """Counts by key of ends and continuations for the contexts that end some value, by order, and the share of ends.
+
+    The counts of an order with more than 2**BITS different contexts are a table (key, ends, goes) instead: what reaches
+    the driver and the tasks is bounded, and every context has its own counts all the same.
     """
     ks = F.array(*[F.lit(k) for k in terminal.ORDERS])
     # copies of one value would vouch for each other's end: each tail counts once
     tails = values.where("contexts is not null").groupBy("contexts", "tail").agg(F.lit(1))
     at = tails.select(F.explode(F.arrays_zip(ks.alias("k"), F.col("contexts").alias("key"))).alias("x")).select("x.k", "x.key")
     at = materialise(at.groupBy("k", "key").agg(F.count("*").alias("n")), "ends")
-    different = dict(at.groupBy("k").count().collect())
-    shifts = [63 - terminal.BITS if different.get(k, 0) > 1 << terminal.BITS else 0 for k in terminal.ORDERS]
-    shift = F.get(F.array(*map(F.lit, shifts)), F.array_position(ks, F.col("k")).cast("int") - 1)
-    got = at.groupBy("k", F.expr("key").alias("full"), shift.alias("s")).agg(F.sum("n").alias("n")).selectExpr("k", "shiftright(full, s) as key", "n").groupBy("k", "key").agg(F.sum("n").alias("n")).toPandas()
-    ends = [got[got["k"] == k].set_index("key")["n"].sort_index() for k in terminal.ORDERS]
-    keys = [s.index.to_numpy(np.int64) for s in ends]
+    of = {r[0]: r for r in at.groupBy("k").agg(F.count("*").alias("different"), F.sum("n").alias("n")).collect()}
+    many = [k for k, r in of.items() if r["different"] > 1 << terminal.BITS]
+    few = [k for k in terminal.ORDERS if k not in many]
+    got = at.where(F.col("k").isin(few)).toPandas()
+    ends = {k: got[got["k"] == k].set_index("key")["n"].sort_index() for k in few}
+    keys = {k: s.index.to_numpy(np.int64) for k, s in ends.items()}
+    bits = _bitmaps(at, many) if many else {}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = [0]
@@ -147,33 +159,52 @@ def end_model(rows: DataFrame, values: DataFrame) -> tuple[list[pd.Series], list
                         if part:
                             yield part
 
-        wanted = [terminal.Wanted(x, shift) for x, shift in zip(keys, shifts)]
+        wanted = [terminal.Wanted(keys[k]) if k in keys else terminal.Perhaps(bits[k]) for k in terminal.ORDERS]
         for k, key, n in terminal.continuations(texts(), wanted):
             yield pd.DataFrame({"k": np.full(len(n), k, np.int32), "key": key, "n": n})
         yield pd.DataFrame({"k": [0], "key": [0], "n": [total[0]]}).astype({"k": "int32", "key": "int64", "n": "int64"})
 
     went = spread(rows.select(*FIELDS)).mapInPandas(count, "k int, key bigint, n bigint").groupBy("k", "key").agg(F.sum("n").alias("n"))
-    got = went.toPandas()
-    goes = [got[got["k"] == k].set_index("key")["n"].sort_index() for k in terminal.ORDERS]
+    if many:
+        went = materialise(went, "continuations")
+    got = (went.where(F.col("k").isin(0, *few)) if many else went).toPandas()
+    goes = {k: got[got["k"] == k].set_index("key")["n"].sort_index() for k in few}
     signs = max(1, int(got[got["k"] == 0]["n"].sum()))
-    return ends, goes, shifts, max(1e-6, float(ends[0].sum()) / signs)
+    large = {}
+    for k in many:
+        on = went.where(F.col("k") == k).select("key", F.col("n").alias("goes"))
+        large[k] = at.where(F.col("k") == k).join(on, "key", "left").select("key", F.col("n").alias("ends"), F.coalesce("goes", F.lit(0)).alias("goes"))
+    # every tail ends in one context of each order
+    first = of.get(terminal.ORDERS[0])
+    return ends, goes, large, max(1e-6, float(first["n"] if first else 0) / signs)
 
 
 def scored(rows: DataFrame, values: DataFrame) -> DataFrame:
     """values with log_odds where a context is known: that of the structure a text ends in, else of its last signs."""
-    ends, goes, shifts, prior = end_model(rows, values)
+    ends, goes, large, prior = end_model(rows, values)
     structures = structure_odds(values)
 
+    def counts(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        contexts = np.stack(pdf["contexts"].to_numpy())
+        for i, k in enumerate(terminal.ORDERS):
+            by_key = [s[k].reindex(contexts[:, i]) for s in (ends, goes)] if k in ends else [pdf[f"ends_{k}"], pdf[f"goes_{k}"]]
+            yield tuple(s.fillna(0).to_numpy(np.float64) for s in by_key)
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             known = pdf["contexts"].notna().to_numpy()
             odds = np.full(len(pdf), np.nan)
             if known.any():
-                odds[known] = terminal.log_odds(np.stack(pdf["contexts"][known].to_numpy()), ends, goes, shifts, prior)
+                odds[known] = terminal.log_odds(counts(pdf[known]), prior)
             within = pdf["kind"].map(structures)
-            yield pdf.drop(columns=["contexts", "tail", "inside"]).assign(log_odds=within.fillna(pd.Series(odds, index=pdf.index)))
+            yield pdf[["pair_id", "data_source", "field_name", "kind", "lang"]].assign(log_odds=within.fillna(pd.Series(odds, index=pdf.index)))
 
     texts = values.withColumn("pair_id", F.col("pair_id").cast("string"))
+    for k, table in large.items():
+        # no key is negative: values without contexts meet nothing, and are spread
+        lone = -1 - F.pmod(F.xxhash64("pair_id", "field_name"), F.lit(1 << 20))
+        key = F.coalesce(F.get("contexts", F.lit(terminal.ORDERS.index(k))), lone)
+        texts = texts.withColumn("key", key).join(table.toDF("key", f"ends_{k}", f"goes_{k}"), "key", "left").drop("key")
     return texts.mapInPandas(score, "pair_id string, data_source string, field_name string, kind string, lang string, log_odds double").withColumn("pair_id", F.col("pair_id").cast("bigint"))
 
 

@@ -4,21 +4,22 @@ The model counts, for the contexts of ORDERS characters that end some value, how
 how often a value goes on after them, over all values. Counts are kept by hash; digits count as one sign and runs of
 white space as one blank or line end. Longer contexts are interpolated with shorter ones, and a value's own end is
 taken off the counts before its log-odds are compared with the threshold of its language and column. Contexts are
-known by a hash of 63 bits; the model holds at most 2**BITS counts an order, whatever the size of the table.
+known by a hash of 63 bits, whatever the size of the table; a task holds the counts of at most 2**BITS an order.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 
 ORDERS = (2, 4, 7, 10)
-#: An order with more than 2**BITS different end contexts is counted in as many buckets, else every context by itself.
+#: The counts of an order with more than 2**BITS different end contexts stay in written tables and are joined.
 BITS = 22
+#: Such an order has a bitmap of 2**FILTER_BITS bits, and continuations are sent on after so many places.
+FILTER_BITS, HELD = 27, 1 << 20
 #: Weight of the next shorter context, in observations.
 BACKOFF = 2.0
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +55,7 @@ def _mix(h: np.ndarray, sign: np.ndarray, k: int) -> np.ndarray:
 
 
 class Wanted:
-    """The end contexts of an order as sorted keys (hashes, shifted right where there are too many), looked up in bulk."""
+    """The end contexts of an order as sorted keys (hashes, or what is left of them after a shift), looked up in bulk."""
 
     def __init__(self, keys: np.ndarray, shift: int = 0):
         self.keys, self.shift = np.asarray(keys, np.int64), shift
@@ -84,11 +85,26 @@ class Wanted:
         return out
 
 
-def _contexts(signs: np.ndarray, at: np.ndarray, keep: list[Wanted] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+class Perhaps:
+    """End contexts of an order that are too many to hold: a bitmap of the first bits of their hashes.
+
+    It lets every end context through and some others; those fall out in the join by whole hashes.
+    """
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """0 for each hash that may be an end context, -1 for one that is none."""
+        place = hashes >> (63 - FILTER_BITS)
+        return (self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(np.int8) - 1
+
+
+def _contexts(signs: np.ndarray, at: np.ndarray, keep: list[Wanted | Perhaps] | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(order, hashes) of the contexts that end at the given places; beyond the start of a text every sign is 0.
 
-    keep: positions among the wanted contexts then stand for hashes. A place that isn't wanted is left out from then on,
-    since a longer context is wanted only where all shorter ones are.
+    keep: positions among the wanted contexts then stand for hashes, but for Perhaps. A place that isn't wanted is left
+    out from then on, since a longer context is wanted only where all shorter ones are.
     """
     wide = np.concatenate([np.zeros(max(ORDERS), np.uint64), signs.astype(np.uint64)])
     at = at + max(ORDERS)
@@ -100,8 +116,10 @@ def _contexts(signs: np.ndarray, at: np.ndarray, keep: list[Wanted] | None = Non
         if k + 1 in ORDERS:
             b = (h >> np.uint64(1)).astype(np.int64)
             if keep is not None:
-                b = keep[ORDERS.index(k + 1)].find(b)
-                wanted = b >= 0
+                among = keep[ORDERS.index(k + 1)]
+                found = among.find(b)
+                wanted = found >= 0
+                b = b if isinstance(among, Perhaps) else found
                 at, h, inside, b = at[wanted], h[wanted], inside[wanted], b[wanted]
             yield k + 1, b
 
@@ -114,26 +132,38 @@ def end_contexts(tails: list[str]) -> np.ndarray:
     return np.stack([b for _, b in _contexts(signs, np.flatnonzero(signs == 0) - 1)], axis=1)
 
 
-def continuations(batches: Iterator[list[str]], wanted: list[Wanted]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(order, keys, counts): how often texts go on after the wanted contexts."""
-    counts = {k: np.zeros(len(w.keys), np.int64) for k, w in zip(ORDERS, wanted)}
+def continuations(batches: Iterator[list[str]], wanted: list[Wanted | Perhaps]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(order, keys, counts): how often texts go on after the wanted contexts.
+
+    The keys of Perhaps are whole hashes; they may come several times, and some belong to no end.
+    """
+    counts = {k: np.zeros(len(w.keys), np.int64) for k, w in zip(ORDERS, wanted) if isinstance(w, Wanted)}
+    held: dict[int, list[np.ndarray]] = {k: [] for k in ORDERS if k not in counts}
     for texts in batches:
         signs = _signs(texts)
         for k, b in _contexts(signs, np.flatnonzero((signs[:-1] != 0) & (signs[1:] != 0)), wanted):
-            counts[k] += np.bincount(b, minlength=len(counts[k]))
+            if k in counts:
+                counts[k] += np.bincount(b, minlength=len(counts[k]))
+                continue
+            held[k].append(b)
+            if sum(map(len, held[k])) >= HELD:
+                yield k, *np.unique(np.concatenate(held[k]), return_counts=True)
+                held[k] = []
     for order, w in zip(ORDERS, wanted):
-        n = counts[order]
-        yield order, w.keys[n > 0], n[n > 0]
-
-
-def log_odds(contexts: np.ndarray, ends: list[pd.Series], goes: list[pd.Series], shifts: list[int], prior: float) -> np.ndarray:
-    """Log-odds of an end against a continuation at each row of contexts; ends and goes are counts by key."""
-    p = np.full(len(contexts), prior)
-    for k in range(len(ORDERS)):
-        keys = contexts[:, k] >> shifts[k]
-        e = np.maximum(ends[k].reindex(keys).fillna(0).to_numpy() - 1, 0)
-        c = goes[k].reindex(keys).fillna(0).to_numpy()
-        p = (e + BACKOFF * p) / (e + c + BACKOFF)
+        if order in counts:
+            n = counts[order]
+            yield order, w.keys[n > 0], n[n > 0]
+        elif held[order]:
+            yield order, *np.unique(np.concatenate(held[order]), return_counts=True)
+
+
+def log_odds(counts: Iterable[tuple[np.ndarray, np.ndarray]], prior: float) -> np.ndarray:
+    """Log-odds of an end against a continuation; counts: of ends and continuations in the context of each order."""
+    p: float | np.ndarray = prior
+    for ends, goes in counts:
+        # a value's own end is taken off
+        e = np.maximum(ends - 1, 0)
+        p = (e + BACKOFF * p) / (e + goes + BACKOFF)
     p = np.clip(p, 1e-9, 1 - 1e-9)
     return np.log(p / (1 - p))
 
