@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.lineage import materialise
@@ -61,39 +60,40 @@ def related_records(rows: DataFrame, contests: DataFrame) -> DataFrame:
     return out.select("pair_id", F.col("root").alias("component"), F.coalesce("members", F.lit(1)).cast("bigint").alias("members"), "lead_data_id")
 
 
-#: Sums are taken exactly up to this many bits; beyond it multiples of sizes are rounded down to a unit.
-MOST_BITS = 1 << 24
-
-
 def closest_totals(sizes: dict[int, int], shares: list[float]) -> list[dict[int, int]]:
     """How many components of each size go to each share but the first, so that its total is as close as can be.
 
-    Subset sums over size multiplicities: each multiplicity is cut into powers of two, a bitset holds the sums that
-    can be reached, and the choice is read back from the bitsets. A tie goes to the smaller total.
+    Subset sums over size multiplicities, exact at every size: each multiplicity is cut into powers of two, a bitset
+    holds the sums that can be reached, and each sum keeps the part that first reached it, from which the choice is
+    read back. A tie goes to the smaller total. This takes some four bytes for each record of the share.
     """
     left, total, out = dict(sizes), sum(s * n for s, n in sizes.items()), []
     for share in shares[1:]:
-        want = share * total
-        unit = max(1, math.ceil(sum(s * n for s, n in left.items()) / MOST_BITS))
-        parts = []
+        goal = round(share * total)
+        parts, filled = [], 0
         for size, n in sorted(left.items(), reverse=True):
+            filled += size * min(n, (goal - filled) // size)
             k = 1
             while n > 0:
                 parts.append((size, min(k, n)))
                 n -= min(k, n)
                 k *= 2
-        sums, bits, top = [1], 1, (1 << (math.ceil(2 * want / unit) + 2)) - 1
-        for size, n in parts:
-            bits = (bits | bits << (size * n // unit)) & top
-            sums.append(bits)
-        goal = round(want / unit)
-        near = next(x for d in range(goal + 2) for x in (goal - d, goal + d) if x >= 0 and bits >> x & 1)
+        # a sum of filled is within reach, so the closest is no farther on the other side
+        most = 2 * goal - filled
+        bits, first = 1, np.full(most + 1, -1, np.int32)
+        for i, (size, n) in enumerate(parts):
+            if size * n <= most and (new := bits << size * n & (1 << most + 1) - 1 & ~bits):
+                raw = np.frombuffer(new.to_bytes(most // 8 + 1, "little"), np.uint8)
+                at = np.flatnonzero(raw)
+                byte, bit = np.nonzero(np.unpackbits(raw[at, None], axis=1, bitorder="little"))
+                first[at[byte] * 8 + bit] = i
+                bits |= new
+        near = next(x for d in range(goal + 1) for x in (goal - d, goal + d) if x == 0 or x <= most and first[x] >= 0)
         took: dict[int, int] = {}
-        for i in range(len(parts), 0, -1):
-            size, n = parts[i - 1]
-            if not sums[i - 1] >> near & 1:
-                near -= size * n // unit
-                took[size] = took.get(size, 0) + n
+        while near:
+            size, n = parts[first[near]]
+            near -= size * n
+            took[size] = took.get(size, 0) + n
         for size, n in took.items():
             left[size] -= n
         out.append(took)
