@@ -69,7 +69,8 @@ def strip_template(prompt: str) -> str:
     """The prompt without chat marks, system text, fixed instructions and language requests; a null is ''."""
     text = prompt or ""
     text = (text if text.isascii() else _INVISIBLE.sub("", text)).strip(_EDGE)
-    asks = _may_ask(text[:120] + text[-120:])
+    # a request may come to an end only when a template is off
+    asks = _may_ask(text)
     while True:
         if (m := _HEAD.match(text)) or asks and (m := _REQUEST_HEAD.match(text)):
             text = text[m.end() :].strip(_EDGE)
