@@ -33,7 +33,11 @@ def _visible(value: Column) -> Column:
     """Lower case without invisible characters; a JSON object with sorted keys and plain characters."""
     text = F.lower(F.regexp_replace(value, _INVISIBLE, ""))
     spaced = F.trim(F.regexp_replace(text, _BLANK + "+", " "))
-    return F.when(value.rlike(r"(?s)^\W*?\{.*\}\W*$"), F.coalesce(F.to_json(F.try_parse_json(spaced)), text)).otherwise(text)
+    plain = F.to_json(F.try_parse_json(spaced))
+    # an escape may stand for a capital, in a key too: lowered and sorted again
+    again = F.to_json(F.try_parse_json(F.lower(plain)))
+    sorted_ = F.when(F.contains(spaced, F.lit("\\u")), again).otherwise(plain)
+    return F.when(value.rlike(r"(?s)^\W*?\{.*\}\W*$"), F.coalesce(sorted_, text)).otherwise(text)
 
 
 def canonical(value: Column) -> Column:
