@@ -33,8 +33,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_overlap_report(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "repo_train")
-    return same_question.overlap_report(rows, same_question.cross_split_overlaps(rows, _t(spark, sf, "contest")))
+    return same_question.Overlaps(_t(spark, sf, "repo_train"), _t(spark, sf, "contest")).report()
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+
+from pyspark.sql import Column, functions as F
 
 #: The texts that chat and task templates put before and after a question.
 HEADS = (
@@ -75,9 +76,12 @@ def strip_template(prompt: str) -> str:
         if (m := _HEAD.match(text)) or asks and (m := _REQUEST_HEAD.match(text)):
             text = text[m.end() :].strip(_EDGE)
             continue
-        low = text[-60:]
+        # fixed tails and requests have at most 70 signs, but any amount of white space between them
+        low = text[-80:]
+        if len(text) > 80 and len("".join(low.split())) < 60:
+            low = text
         # every tail ends in one of these signs or names a step or an answer
-        last = low[-30:].lower()
+        last = low.lower()
         ends = last[-1:] in ":>]" or "step" in last or "answer" in last or "assistant" in last
         if ends and (m := _TAIL.search(low)) or asks and (m := _REQUEST_TAIL.search(low)):
             text = text[: len(text) - len(low) + m.start()].strip(_EDGE)
@@ -92,54 +96,51 @@ def requested_language(prompt: str) -> str | None:
     return _NAME_OF.get(name.group().lower()) if name else None
 
 
-class Credits:
-    """Finds a contest credit at either end of a question. contests: (id, code, title) rows, a bounded dimension."""
-
-    _YEAR, _NUMBER = r"[’'‘]?\s*(\d{4}|\d{2})(?!\d)", r"(?:#|Problem|P|Question|Q|no\.?)?\s*(\d{1,3})(?!\d)"
-    _NAME, _SEP = r"([^\W\d_][^\[\]()\d#’'‘,/—–]{1,60}?)", r"[\s,/\-–]*"
-    _FORMS = (
-        r"[\[(]?\s*from\s+the\s+" + _YEAR + r"\s+" + _NAME + _SEP + _NUMBER + r"\s*[\])]?",
-        r"(?:[\[(]|[—–]|Source\s*:)\s*" + _NAME + _SEP + _YEAR + _SEP + _NUMBER + r"\s*[\])]?\s*\.?",
-    )
-    _HEADS = tuple(re.compile(_SPACE + x, re.I) for x in _FORMS)
-    _TAILS = tuple(re.compile(x + r"[\s.]*\Z", re.I) for x in _FORMS)
-
-    def __init__(self, contests: Iterable[tuple[int, str, str]]):
-        self.of: dict[str, int] = {}
-        for number, code, title in contests:
-            for name in (code, title):
-                if name:
-                    self.of.setdefault(" ".join(name.lower().split()), number)
-
-    def _key(self, m: re.Match, year_first: bool) -> str | None:
-        year, name, number = m.groups() if year_first else (m[2], m[1], m[3])
-        contest = self.of.get(" ".join(name.lower().strip(" ,.-").split()))
-        if contest is None:
-            return None
+_YEAR, _NUMBER = r"[’'‘]?\s*(\d{4}|\d{2})(?!\d)", r"(?:#|Problem|P|Question|Q|no\.?)?\s*(\d{1,3})(?!\d)"
+_CREDIT_NAME, _SEP = r"([^\W\d_][^\[\]()\d#’'‘,/—–]+?)", r"[\s,/\-–]*"
+_FORMS = (
+    r"[\[(]?\s*from\s+the\s+" + _YEAR + r"\s+" + _CREDIT_NAME + _SEP + _NUMBER + r"\s*[\])]?",
+    r"(?:[\[(]|[—–]|Source\s*:)\s*" + _CREDIT_NAME + _SEP + _YEAR + _SEP + _NUMBER + r"\s*[\])]?\s*\.?",
+)
+_CREDIT_HEADS = tuple(re.compile(_SPACE + x, re.I) for x in _FORMS)
+_CREDIT_TAILS = tuple(re.compile(x + r"[\s.]*\Z", re.I) for x in _FORMS)
+
+
+def credit_parts(question: str) -> list[tuple[str, str, str]]:
+    """(rest of the question, name, year:number) of each text at either end that has the form of a contest credit.
+
+    A name is in lower case with single blanks; a year of two digits is of 1960 to 2059. The nearest form comes first.
+    """
+    found: list[tuple[int, re.Match, str]] = []
+    # a credit at the end ends in its problem's number
+    if question.rstrip(" \t\r\n\x0b\x0c.])")[-1:].isdigit():
+        found += [(k, m, question[: m.start()]) for k, pattern in enumerate(_CREDIT_TAILS) for m in pattern.finditer(question)]
+    found += [(k, m, question[m.end() :]) for k, pattern in enumerate(_CREDIT_HEADS) if (m := pattern.match(question))]
+    out = []
+    for k, m, rest in found:
+        year, name, number = m.groups() if k == 0 else (m[2], m[1], m[3])
         y = int(year)
         y += 0 if len(year) == 4 else 1900 if y >= 60 else 2000
-        return f"{contest}:{y}:{int(number)}"
-
-    def split(self, question: str) -> tuple[str, str | None]:
-        """The question without its credit, and the credit as contest:year:number."""
-        low = question[-110:]
-        if low[-1:] in "])." or low[-1:].isdigit():
-            for first, pattern in zip((True, False), self._TAILS):
-                for m in pattern.finditer(low):
-                    if key := self._key(m, first):
-                        return question[: len(question) - len(low) + m.start()].strip(_EDGE), key
-        for first, pattern in zip((True, False), self._HEADS):
-            if (m := pattern.match(question)) and (key := self._key(m, first)):
-                return question[m.end() :].strip(_EDGE), key
-        return question, None
+        out.append((rest.strip(_EDGE), " ".join(name.lower().strip(" ,.-").split()), f"{y}:{int(number)}"))
+    return out
+
+
+def credit_of(contest: Column, problem: Column) -> Column:
+    """contest:year:number."""
+    return F.concat(contest.cast("string"), F.lit(":"), problem)
 
 
 #: Numbers keep an inner point or comma; letters of scripts without spaces stand alone; other letters form runs.
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[฀-๿぀-ヿ㐀-鿿豈-﫿]|[^\W\d_]+")
 
 
+_GROUPED = re.compile(r"\d{1,3}(?:,\d{3})+(?:\.\d+)?\Z")
+
+
 def tokens(question: str) -> list[str]:
-    return TOKEN.findall(question.lower())
+    """Words and numbers in lower case; commas between thousands are no part of a number."""
+    found = TOKEN.findall(question.lower())
+    return [w.replace(",", "") if "," in w and _GROUPED.match(w) else w for w in found]
 
 
 def is_number(token: str) -> bool:

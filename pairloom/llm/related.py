@@ -9,27 +9,41 @@ from ..plans.lineage import materialise
 from .same_question import class_pairs, classes_of, word_rows
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root for the undirected edges (u, v): root is the smallest node of the component.
+def components(edges: DataFrame) -> DataFrame:
+    """node, root for the undirected edges (u, v): two nodes have one root if they are connected.
 
-    Each round hooks a node and its parent below the smallest parent among the neighbours, then shortcuts every
-    parent to its own parent. The rounds grow with the logarithm of the longest path; each is written out, so a lost
-    executor repeats one round at most. Self loops stand for lone nodes.
+    Each round hooks every node below its least neighbour, in an order given by a bijective hash, and shortcuts parents
+    twice, all in joined tables; then the edges are drawn between parents, so finished components and inner edges are
+    gone and a hub has one edge for each component left beside it. Each round is written out: a lost executor repeats
+    one at most. The number of rounds follows the logarithm of the longest path. Self loops stand for lone nodes.
     """
-    edges = materialise(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    parent = materialise(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("p")), "parent")
-    for _ in range(most_rounds):
-        near = edges.join(parent.select(F.col("node").alias("v"), F.col("p").alias("q")), "v").groupBy("u").agg(F.min("q").alias("m"))
-        seen = parent.join(near, F.col("node") == F.col("u")).select("node", "p", "m")
-        hooks = seen.where("m < p").select(F.explode(F.array("node", "p")).alias("node"), F.col("m").alias("h")).groupBy("node").agg(F.min("h").alias("h"))
-        hooked = parent.join(hooks, "node", "left").select("node", F.least("p", "h").alias("p"), F.col("p").alias("before"))
-        up = hooked.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-        cut = hooked.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p"), "before")
-        cut = materialise(cut, "parent")
-        parent = cut.select("node", "p")
-        if not cut.where("p <> before").limit(1).count():
-            return parent.withColumnRenamed("p", "root")
-    raise RuntimeError(f"no end after {most_rounds} rounds")
+    # xxhash64 of one bigint maps no two to one, so an order of hashes ties nothing and follows no order of the data
+    mix = lambda c: F.xxhash64(F.col(c))
+    nodes = materialise(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
+    left = materialise(edges.where("u <> v").select(mix("u").alias("u"), mix("v").alias("v")), "edges")
+    levels: list[DataFrame] = []
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parent = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
+        for _ in range(2):
+            up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+            parent = parent.join(up, "p").select("u", F.col("pp").alias("p"))
+        parent = materialise(parent, "parent")
+        levels.append(parent)
+        on = lambda c: parent.select(F.col("u").alias(c), F.col("p").alias("p" + c))
+        drawn = left.join(on("u"), "u").join(on("v"), "v").where("pu <> pv")
+        left = materialise(drawn.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+    # from the last level, the smallest, down: the root of a node is that of its parent
+    root: DataFrame | None = None
+    for parent in reversed(levels):
+        if root is None:
+            root = parent.select("u", F.col("p").alias("root"))
+            continue
+        above = root.select(F.col("u").alias("p"), "root")
+        root = materialise(parent.join(above, "p", "left").select("u", F.coalesce("root", "p").alias("root")), "roots")
+    if root is None:
+        return nodes.select("node", mix("node").alias("root"))
+    return nodes.join(root, mix("node") == F.col("u"), "left").select("node", F.coalesce("root", mix("node")).alias("root"))
 
 
 def related_records(rows: DataFrame, contests: DataFrame) -> DataFrame:
@@ -45,7 +59,7 @@ def related_records(rows: DataFrame, contests: DataFrame) -> DataFrame:
     ties = words.select(node.alias("node"), "data_id", "credit").where("node is not null").groupBy("node", "data_id", "credit").agg(F.count("*").alias("n"))
     ties = materialise(ties, "ties")
     yes = F.lit(True)
-    found = class_pairs(classes_of(words, yes, yes)).where("klass_a < klass_b").select(F.col("klass_a").alias("u"), F.col("klass_b").alias("v"))
+    found = class_pairs(classes_of(words, yes, yes), symmetric=True).select(F.col("klass_a").alias("u"), F.col("klass_b").alias("v"))
     edges = (
         ties.where("data_id is not null").select(F.col("node").alias("u"), by_id.alias("v"))
         .unionByName(ties.where("credit is not null").select(F.col("node").alias("u"), by_credit.alias("v")))
@@ -60,73 +74,113 @@ def related_records(rows: DataFrame, contests: DataFrame) -> DataFrame:
     return out.select("pair_id", F.col("root").alias("component"), F.coalesce("members", F.lit(1)).cast("bigint").alias("members"), "lead_data_id")
 
 
+#: Records that a subset sum at the least sizes may reach before larger ones are left alone; some four bytes each.
+CORE = 1 << 22
+
+
+def _subset_sum(sizes: dict[int, int], goal: int) -> dict[int, int]:
+    """The number of items of each size whose total is closest to goal, of equals the smaller total.
+
+    Each multiplicity is cut into powers of two, a bitset holds the sums that can be reached, and each sum keeps the
+    part that first reached it, from which the choice is read back.
+    """
+    parts, filled = [], 0
+    for size, n in sorted(sizes.items(), reverse=True):
+        filled += size * min(n, (goal - filled) // size)
+        k = 1
+        while n > 0:
+            parts.append((size, min(k, n)))
+            n -= min(k, n)
+            k *= 2
+    # a sum of filled is within reach, so the closest is no farther on the other side
+    most = 2 * goal - filled
+    bits, first = 1, np.full(most + 1, -1, np.int32)
+    for i, (size, n) in enumerate(parts):
+        if size * n <= most and (new := bits << size * n & (1 << most + 1) - 1 & ~bits):
+            raw = np.frombuffer(new.to_bytes(most // 8 + 1, "little"), np.uint8)
+            at = np.flatnonzero(raw)
+            byte, bit = np.nonzero(np.unpackbits(raw[at, None], axis=1, bitorder="little"))
+            first[at[byte] * 8 + bit] = i
+            bits |= new
+    near = next(x for d in range(goal + 1) for x in (goal - d, goal + d) if x == 0 or x <= most and first[x] >= 0)
+    took: dict[int, int] = {}
+    while near:
+        size, n = parts[first[near]]
+        near -= size * n
+        took[size] = took.get(size, 0) + n
+    return took
+
+
+def _closest(sizes: dict[int, int], goal: int, core: int = CORE) -> dict[int, int]:
+    """As _subset_sum, but large components are laid down first and a subset sum over the small ones hits the goal.
+
+    A total that is hit needs no further search, and that needs no more memory than the core. Only where the core can't
+    hit it the sums of all components are searched.
+    """
+    small: dict[int, int] = {}
+    held = 0
+    for size, n in sorted(sizes.items()):
+        if (k := min(n, (core - held) // size)) <= 0:
+            break
+        small[size] = k
+        held += size * k
+    if small == sizes:
+        return _subset_sum(sizes, goal)
+    took: dict[int, int] = {}
+    rest = goal
+    for size, n in sorted(sizes.items(), reverse=True):
+        # what the small components hold is left to them
+        if k := min(n - small.get(size, 0), max(0, rest - held // 2) // size):
+            took[size] = k
+            rest -= size * k
+    if rest <= held:
+        for size, n in _subset_sum(small, rest).items():
+            took[size] = took.get(size, 0) + n
+        if sum(s * n for s, n in took.items()) == goal:
+            return took
+    return _subset_sum(sizes, goal)
+
+
 def closest_totals(sizes: dict[int, int], shares: list[float]) -> list[dict[int, int]]:
     """How many components of each size go to each share but the first, so that its total is as close as can be.
 
-    Subset sums over size multiplicities, exact at every size: each multiplicity is cut into powers of two, a bitset
-    holds the sums that can be reached, and each sum keeps the part that first reached it, from which the choice is
-    read back. A tie goes to the smaller total. This takes some four bytes for each record of the share.
+    Exact at every size. A tie goes to the smaller total.
     """
     left, total, out = dict(sizes), sum(s * n for s, n in sizes.items()), []
     for share in shares[1:]:
-        goal = round(share * total)
-        parts, filled = [], 0
-        for size, n in sorted(left.items(), reverse=True):
-            filled += size * min(n, (goal - filled) // size)
-            k = 1
-            while n > 0:
-                parts.append((size, min(k, n)))
-                n -= min(k, n)
-                k *= 2
-        # a sum of filled is within reach, so the closest is no farther on the other side
-        most = 2 * goal - filled
-        bits, first = 1, np.full(most + 1, -1, np.int32)
-        for i, (size, n) in enumerate(parts):
-            if size * n <= most and (new := bits << size * n & (1 << most + 1) - 1 & ~bits):
-                raw = np.frombuffer(new.to_bytes(most // 8 + 1, "little"), np.uint8)
-                at = np.flatnonzero(raw)
-                byte, bit = np.nonzero(np.unpackbits(raw[at, None], axis=1, bitorder="little"))
-                first[at[byte] * 8 + bit] = i
-                bits |= new
-        near = next(x for d in range(goal + 1) for x in (goal - d, goal + d) if x == 0 or x <= most and first[x] >= 0)
-        took: dict[int, int] = {}
-        while near:
-            size, n = parts[first[near]]
-            near -= size * n
-            took[size] = took.get(size, 0) + n
+        took = _closest({s: n for s, n in left.items() if n}, round(share * total))
         for size, n in took.items():
             left[size] -= n
         out.append(took)
     return out
 
 
-def assign_splits(related: DataFrame, shares: dict[str, float] | None = None, buckets: int = 64) -> DataFrame:
+def assign_splits(related: DataFrame, shares: dict[str, float] | None = None, rank_rows: int = 100_000) -> DataFrame:
     """pair_id, component, split: whole components, totals as close to the shares as subset sums allow.
 
-    related: as related_records returns it. The first share takes what the others leave. Only the histogram of
-    component sizes reaches the driver (at most the root of twice the rows), and counts by size and hash bucket.
+    related: as related_records returns it. The first share takes what the others leave. The histogram of component
+    sizes reaches the driver (at most the root of twice the rows), then the counts of hash buckets: components of one
+    size are ranked in buckets of some rank_rows, however many there are.
     """
     shares = shares or {"train": 0.9, "validation": 0.05, "test": 0.05}
     lone = F.xxhash64(F.lit("lone"), "pair_id")
     keyed = related.select("pair_id", F.coalesce("component", lone).alias("component"), F.when(F.col("component").isNull(), 1).otherwise(F.col("members")).alias("members"))
-    whole = keyed.groupBy("component").agg(F.max("members").alias("members")).withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int"))
-    whole = materialise(whole, "components")
-    counts = sorted((r[0], r[1], r[2]) for r in whole.groupBy("members", "bucket").count().collect())
-    sizes: dict[int, int] = {}
-    for size, _, n in counts:
-        sizes[size] = sizes.get(size, 0) + n
+    whole = materialise(keyed.groupBy("component").agg(F.max("members").alias("members")), "components")
+    sizes = {r[0]: r[1] for r in whole.groupBy("members").count().collect()}
     names, took = list(shares), closest_totals(sizes, list(shares.values()))
-    cuts = []
-    for size, bucket, n in counts:
+    spark = related.sparkSession
+    # a row a size: at most the root of twice the rows
+    of_size = spark.createDataFrame([(s, -(-n // rank_rows)) for s, n in sizes.items()], "members bigint, buckets bigint")
+    whole = whole.join(of_size, "members").withColumn("bucket", F.pmod(F.xxhash64("component"), "buckets")).drop("buckets")
+    cuts, left = [], [dict(t) for t in took]
+    for size, bucket, n in sorted(tuple(r) for r in whole.groupBy("members", "bucket").count().collect()):
         at = 0
-        for name, quota in zip(names[1:], took):
-            k = min(n - at, quota.get(size, 0))
-            if k:
+        for name, quota in zip(names[1:], left):
+            if k := min(n - at, quota.get(size, 0)):
                 quota[size] -= k
                 cuts.append((size, bucket, name, at, at + k))
                 at += k
-    spark = related.sparkSession
-    plan = spark.createDataFrame(cuts, "members bigint, bucket int, split string, from_ bigint, to_ bigint")
+    plan = spark.createDataFrame(cuts, "members bigint, bucket bigint, split string, from_ bigint, to_ bigint")
     rank = F.row_number().over(Window.partitionBy("members", "bucket").orderBy("component")) - 1
     ranked = whole.withColumn("rank", rank)
     chosen = ranked.join(plan, (ranked.members == plan.members) & (ranked.bucket == plan.bucket) & (F.col("rank") >= F.col("from_")) & (F.col("rank") < F.col("to_")), "left").select("component", F.coalesce("split", F.lit(names[0])).alias("split"))

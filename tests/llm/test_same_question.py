@@ -66,10 +66,11 @@ def test_overlaps_against_brute_force(spark, data):
     contests = spark.createDataFrame([(1, "HLMI", "Harrow Lake Invitational")], CONTESTS)
     split = {r[0]: r[1] for r in data}
     want = {p for p in brute(data) if {split[p[0]] == "train", split[p[1]] == "train"} == {True, False} and None not in (split[p[0]], split[p[1]])}
-    got = S.cross_split_overlaps(rows, contests)
+    found = S.Overlaps(rows, contests)
+    got = found.pairs()
     pairs = [tuple(sorted((r["train_id"], r["eval_id"]))) for r in got.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == want and want
-    report = S.overlap_report(rows, got).collect()
+    report = found.report().collect()
     assert sum(r["pairs"] for r in report) == len(want)
     assert sum(r["records"] for r in report) == sum(s in ("test", "validation") for s in split.values())
 
@@ -77,9 +78,55 @@ def test_overlaps_against_brute_force(spark, data):
 def test_blocks_lose_nothing(spark, data):
     words = S.word_rows(spark.createDataFrame(data, SCHEMA))
     one = F.lit(True)
+    half = {(r[0], r[1]) for r in S.class_pairs(S.classes_of(words, one, one), symmetric=True).select("klass_a", "klass_b").collect()}
     whole = {(r[0], r[1]) for r in S.class_pairs(S.classes_of(words, one, one), 512).select("klass_a", "klass_b").collect()}
     cut = {(r[0], r[1]) for r in S.class_pairs(S.classes_of(words, one, one), 2).select("klass_a", "klass_b").collect()}
-    assert whole == cut and whole
+    assert whole == cut and whole and half == {p for p in whole if p[0] < p[1]}
+
+
+def test_many_wordings_without_a_number(spark):
+    """Their seeds are all that tells them apart; planted partners differ by up to four words."""
+    rng = random.Random(5)
+    often = "what is the value of a in this red or blue".split()
+    word = lambda: rng.choice(often) if rng.random() < 0.6 else "w" + "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts, want = [], set()
+    for i in range(4000):
+        base = [word() for _ in range(rng.choice([6, 9, 14, 25, 50]))]
+        other = list(base)
+        for _ in range(rng.randint(0, 4)):
+            other[rng.randrange(len(other))] = word()
+        texts += [base, other]
+        want.add((2 * i, 2 * i + 1))
+    rows = spark.createDataFrame([(i, "test" if i % 2 else "train", "a", None, " ".join(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {(r["train_id"], r["eval_id"]) for r in S.cross_split_overlaps(rows).collect()}
+    assert want <= got
+    assert all(plain_distance(texts[a], texts[b]) <= 4 for a, b in got - want)
+
+
+def test_seeds_of_partners_meet():
+    rng = random.Random(9)
+    for _ in range(2000):
+        a = [rng.choice(WORDS) for _ in range(rng.randint(1, 90))]
+        b = list(a)
+        for _ in range(4):
+            i = rng.randrange(len(b) + 1)
+            kind = rng.random()
+            if kind < 0.4 or not b:
+                b.insert(i, rng.choice(WORDS))
+            elif kind < 0.7:
+                del b[min(i, len(b) - 1)]
+            else:
+                b[min(i, len(b) - 1)] = rng.choice(WORDS)
+        if set(a) & set(b):
+            assert {k for k, _ in S.seeds_of(a, 0)} & {k for k, _ in S.seeds_of(b, 0)}, (a, b)
+
+
+def test_components_of_a_long_path_and_a_hub(spark):
+    path = [(i, i + 1) for i in range(0, 700)]
+    hub = [(5000, 6000 + i) for i in range(3000)]
+    got = {r["node"]: r["root"] for r in related.components(spark.createDataFrame([*path, *hub, (9999, 9999)], "u bigint, v bigint")).collect()}
+    assert len(got) == 701 + 3001 + 1 and len(set(got.values())) == 3
+    assert len({got[i] for i in range(701)}) == 1 and len({got[6000 + i] for i in range(3000)}) == 1
 
 
 def test_components_against_union_find(spark, data):

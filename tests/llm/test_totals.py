@@ -21,3 +21,9 @@ def test_many_sizes_hit_their_shares():
     sizes = {s: 101 for s in range(3, 700)} | {1: 1000}
     for took in closest_totals(sizes, [0.9, 0.05, 0.05]):
         assert total(took) == round(0.05 * total(sizes))
+
+
+def test_a_billion_records_are_hit_in_little_memory():
+    for sizes in ({1: 600_000_000, 7: 40_000_000, 1000: 100_000}, {3: 200_000_000, 50_021: 7_000}, {2: 10**8, 3: 10**8, 10**8: 4}):
+        for took in closest_totals(sizes, [0.9, 0.05, 0.05]):
+            assert total(took) == round(0.05 * total(sizes))
