@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.lineage import materialise
 from ..plans.spread import spread
 from . import terminal
-from .language import language, refuses
+from .language import NUMBER, language, refuses, solves
 from .question import requested_language, strip_template
 from .sentences import BLANK
 
@@ -23,11 +23,12 @@ FIELDS = ("chosen", "rejected")
 #: What is left of a reply that says nothing.
 _NOTHING = re.compile(r"<\|[a-z_]+\|>(?:\s*(?:assistant|user|system)\b)?|</?s>|\[/?INST\]|</?(?:think|answer|reasoning|thought|scratchpad)>|\\\(|\\\)|\$|\\boxed\s*\{\s*\}|#{3,4}\s*(?:Response|Assistant|Answer):?|\A\s*(?:Assistant|Answer|Response):|[\s​-‏⁠﻿­\x85\xa0]+", re.I)
 _MARK_WORDS = ("Assistant", "Answer", "Response", "assistant", "answer", "response", "ASSISTANT", "ANSWER", "RESPONSE")
-#: A copy is this long against the question, blanks not counted, and needs at most this share of the bytes that it
-#: needs without the question.
-COPY_LENGTH, COPY_SHARE = (0.7, 1.3), 0.3
-#: A sign-off; a name that the prompt knows is whole, whatever the model makes of it.
-_SIGNED = re.compile(r"(?:wishes|yours|regards|sincerely|saludos|atentamente|grüße|grüßen|cordialement|amitiés)\s*,[\s\u200b-\u200f\u2060\ufeff]+([^\W\d_][\w\u200b-\u200f\u2060\ufeff]*)\Z", re.I)
+#: A copy needs at most this share of the bytes that it needs without the question, and holds this share of its letters.
+COPY_SHARE, NEARLY = 0.3, 0.7
+#: Words before a name that signs a text; a name that the prompt knows is whole, whatever the model makes of it.
+SIGN_OFFS = frozenset("wishes yours regards sincerely saludos atentamente grüße grüßen cordialement amitiés".split())
+#: Ends that agree in so many letters count once: copies of one value would vouch for each other's end.
+TAIL_LETTERS = 56
 _SIGNS = re.compile(r"[\W_]+")
 #: Log-odds are kept in steps of this size to set thresholds.
 STEP = 0.25
@@ -43,15 +44,40 @@ def is_empty(value: str | None) -> bool:
     return not _NOTHING.sub("", text)
 
 
-def copies_question(question: list[str], reply: list[str]) -> bool:
-    """reply compresses to almost nothing with the question as a zstandard dictionary; both as lower-case words."""
-    n = sum(map(len, question))
-    if not n or not COPY_LENGTH[0] * n <= sum(map(len, reply)) <= COPY_LENGTH[1] * n:
+def _bytes(text: bytes, known: bytes | None = None) -> int:
+    data = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if known else None
+    return len(zstandard.ZstdCompressor(level=3, dict_data=data).compress(text))
+
+
+def copies_question(question: list[str], reply: list[str], known: frozenset[str] | set[str] = frozenset()) -> bool:
+    """reply is the question, or nearly all of it, once more, and nothing beside it answers; both as lower-case words.
+
+    The reply is compressed with the question as a zstandard dictionary. One of about the question's length must need
+    almost nothing of what it needs alone; a longer one (some words around the question, or the question several times)
+    almost nothing of what the question needs, and give no solution in words of its own. known: figures of the question.
+    """
+    n, m = sum(map(len, question)), sum(map(len, reply))
+    if not n or m < NEARLY * n:
         return False
+    longer = m > (2 - NEARLY) * n
+    if longer:
+        own, words = set(question), set(reply)
+        if len(own & words) < 0.9 * len(own) or len(words) > 2 * len(own) + 10:
+            return False
     q, r = " ".join(question).encode(), " ".join(reply).encode()
-    known = zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    with_ = len(zstandard.ZstdCompressor(level=3, dict_data=known).compress(r))
-    return with_ < 0.5 * len(r) and with_ <= COPY_SHARE * len(zstandard.ZstdCompressor(level=3).compress(r))
+    with_ = _bytes(r, q)
+    if longer:
+        return with_ <= COPY_SHARE * _bytes(q) and not solves(" ".join(w for w in reply if w not in own), known)
+    return with_ < 0.5 * len(r) and with_ <= COPY_SHARE * _bytes(r)
+
+
+def signed(text: str, question: list[str]) -> bool:
+    """Whether a text ends in a sign-off and a name of the question."""
+    at = text.rfind(",")
+    if at < 0 or not (name := text[at + 1 :].strip(BLANK)) or len(name.split()) > 1:
+        return False
+    before = text[:at].rsplit(None, 1)
+    return bool(before) and before[-1].lower().strip(BLANK) in SIGN_OFFS and _SIGNS.sub("", name.lower()) in {_SIGNS.sub("", w) for w in question}
 
 
 class _Prompts:
@@ -60,61 +86,49 @@ class _Prompts:
     def __init__(self) -> None:
         self.get = lru_cache(4096)(self._get)
 
-    def _get(self, prompt: str | None) -> tuple[list[str], str | None, str | None]:
+    def _get(self, prompt: str | None) -> tuple[list[str], str | None, str | None, frozenset[str]]:
         question = strip_template(prompt or "").lower()
         words = question.split()
-        return words, language(question, words, 2), requested_language(prompt) if prompt else None
-
-
-_NONE = [0, 0, 0, 0]
+        return words, language(question, words, 2), requested_language(prompt) if prompt else None, frozenset(NUMBER.findall(question))
 
 
-def _judge(prompts: _Prompts, prompt: str | None, value: str | None) -> tuple[str, str | None, str, list[int]]:
-    """(kind, language, tail, inside): kind is a defect or the state of the end, as terminal.state has it."""
+def _judge(prompts: _Prompts, prompt: str | None, value: str | None) -> tuple[str, str | None, str, int]:
+    """(kind, language, tail, structure): kind is a defect or the state of the end, as terminal.state has it."""
     if is_empty(value):
-        return "empty", None, "", _NONE
-    question, spoken, asked = prompts.get(prompt)
+        return "empty", None, "", 0
+    question, spoken, asked, known = prompts.get(prompt)
     text = terminal.bare(value)
     words = text.lower().split()
     own = language(text, words)
-    if refuses(text):
-        return "refusal", own, "", _NONE
-    if copies_question(question, words):
-        return "copies_question", own, "", _NONE
+    if refuses(text, known):
+        return "refusal", own, "", 0
+    if copies_question(question, words, known):
+        return "copies_question", own, "", 0
     if own and spoken and own != spoken and own != asked:
-        return "other_language", own, "", _NONE
-    state, n, inside = terminal.state(text)
-    if state == "open" and text[-1].isalpha() and (m := _SIGNED.search(text[-80:])) and _SIGNS.sub("", m[1].lower()) in {_SIGNS.sub("", w) for w in question}:
+        return "other_language", own, "", 0
+    state, n, structure = terminal.state(text)
+    if state == "open" and text[-1].isalpha() and signed(text, question):
         state = "whole"
-    return state, own, text[max(0, n - 96) : n], inside
+    return state, own, terminal.tail(text, n), structure
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """pair_id, data_source, field_name, kind, lang, contexts, tail, inside for both fields of each record."""
+    """pair_id, data_source, field_name, kind, lang, contexts, tail, structure for both fields of each record."""
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prompts = _Prompts()
         for pdf in batches:
             for field in FIELDS:
                 got = [_judge(prompts, p, v) for p, v in zip(pdf["prompt"], pdf[field])]
-                contexts = terminal.end_contexts([x[2] for x in got])
+                contexts = terminal.end_contexts([x[2] for x in got], [x[3] for x in got])
                 yield pd.DataFrame({
                     "pair_id": pdf["pair_id"], "data_source": pdf["data_source"], "field_name": field, "kind": [x[0] for x in got], "lang": [x[1] for x in got],
-                    "contexts": [c if x[2] else None for c, x in zip(contexts, got)], "tail": [xxhash.xxh32_intdigest(_SIGNS.sub("", x[2].lower())[-56:]) if x[2] else None for x in got], "inside": [x[3] for x in got],
+                    "contexts": [c if x[2] else None for c, x in zip(contexts, got)], "tail": [xxhash.xxh32_intdigest(_SIGNS.sub("", x[2].lower())[-TAIL_LETTERS:]) if x[2] else None for x in got], "structure": [x[3] for x in got],
                 })
 
     # ids travel as text: a null among integers would turn a batch into floating point
     kept = spread(rows.select(F.col("pair_id").cast("string").alias("pair_id"), "data_source", "prompt", *FIELDS))
-    return kept.mapInPandas(judge, "pair_id string, data_source string, field_name string, kind string, lang string, contexts array<bigint>, tail bigint, inside array<int>").withColumn("pair_id", F.col("pair_id").cast("bigint"))
-
-
-def structure_odds(values: DataFrame) -> dict[str, float]:
-    """Log-odds of an end against a continuation inside each structure: the context of no character but the structure."""
-    went = [F.sum(F.get("inside", F.lit(k))).alias(s) for k, s in enumerate(terminal.STRUCTURES)]
-    ends = [F.count_if(F.col("kind") == s).alias("end_" + s) for s in terminal.STRUCTURES]
-    r = values.agg(*went, *ends).first()
-    # a value's own end is taken off here too
-    return {s: float(np.log((max(r["end_" + s] - 1, 0) + 0.5) / ((r[s] or 0) + 0.5))) for s in terminal.STRUCTURES}
+    return kept.mapInPandas(judge, "pair_id string, data_source string, field_name string, kind string, lang string, contexts array<bigint>, tail bigint, structure int").withColumn("pair_id", F.col("pair_id").cast("bigint"))
 
 
 def _bitmaps(at: DataFrame, orders: list[int]) -> dict[int, np.ndarray]:
@@ -128,15 +142,16 @@ def _bitmaps(at: DataFrame, orders: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
-def end_model(rows: DataFrame, values: DataFrame) -> tuple[dict[int, pd.Series], dict[int, pd.Series], dict[int, DataFrame], float]:
-    """Counts by key of ends and continuations for the contexts that end some value, by order, and the share of ends.
+def end_model(rows: DataFrame, values: DataFrame) -> tuple[dict[int, pd.Series], dict[int, pd.Series], dict[int, DataFrame], np.ndarray]:
+    """Counts by key of ends and continuations for the contexts that end some value, by order, and the share of ends in
+    each structure.
 
     The counts of an order with more than 2**BITS different contexts are a table (key, ends, goes) instead: what reaches
     the driver and the tasks is bounded, and every context has its own counts all the same.
     """
     ks = F.array(*[F.lit(k) for k in terminal.ORDERS])
     # copies of one value would vouch for each other's end: each tail counts once
-    tails = values.where("contexts is not null").groupBy("contexts", "tail").agg(F.lit(1))
+    tails = values.where("contexts is not null").groupBy("contexts", "tail", "structure").agg(F.lit(1))
     at = tails.select(F.explode(F.arrays_zip(ks.alias("k"), F.col("contexts").alias("key"))).alias("x")).select("x.k", "x.key")
     at = materialise(at.groupBy("k", "key").agg(F.count("*").alias("n")), "ends")
     of = {r[0]: r for r in at.groupBy("k").agg(F.count("*").alias("different"), F.sum("n").alias("n")).collect()}
@@ -148,41 +163,36 @@ def end_model(rows: DataFrame, values: DataFrame) -> tuple[dict[int, pd.Series],
     bits = _bitmaps(at, many) if many else {}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = [0]
-
         def texts() -> Iterator[list[str]]:
             for pdf in batches:
                 for field in FIELDS:
                     for s in range(0, len(pdf), 500):
-                        part = [x for x in pdf[field].iloc[s : s + 500] if x]
-                        total[0] += sum(map(len, part))
-                        if part:
+                        if part := [x for x in pdf[field].iloc[s : s + 500] if x]:
                             yield part
 
         wanted = [terminal.Wanted(keys[k]) if k in keys else terminal.Perhaps(bits[k]) for k in terminal.ORDERS]
         for k, key, n in terminal.continuations(texts(), wanted):
             yield pd.DataFrame({"k": np.full(len(n), k, np.int32), "key": key, "n": n})
-        yield pd.DataFrame({"k": [0], "key": [0], "n": [total[0]]}).astype({"k": "int32", "key": "int64", "n": "int64"})
 
     went = spread(rows.select(*FIELDS)).mapInPandas(count, "k int, key bigint, n bigint").groupBy("k", "key").agg(F.sum("n").alias("n"))
     if many:
         went = materialise(went, "continuations")
     got = (went.where(F.col("k").isin(0, *few)) if many else went).toPandas()
     goes = {k: got[got["k"] == k].set_index("key")["n"].sort_index() for k in few}
-    signs = max(1, int(got[got["k"] == 0]["n"].sum()))
+    within = got[got["k"] == 0].set_index("key")["n"]
     large = {}
     for k in many:
         on = went.where(F.col("k") == k).select("key", F.col("n").alias("goes"))
         large[k] = at.where(F.col("k") == k).join(on, "key", "left").select("key", F.col("n").alias("ends"), F.coalesce("goes", F.lit(0)).alias("goes"))
-    # every tail ends in one context of each order
-    first = of.get(terminal.ORDERS[0])
-    return ends, goes, large, max(1e-6, float(first["n"] if first else 0) / signs)
+    ended = {r[0]: r[1] for r in tails.groupBy("structure").count().collect()}
+    # a value's own end is taken off here too
+    share = [(max(ended.get(k, 0) - 1, 0) + 0.5) / (ended.get(k, 0) + int(within.get(k, 0)) + 1) for k in range(len(terminal.STRUCTURES) + 1)]
+    return ends, goes, large, np.array(share)
 
 
 def scored(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """values with log_odds where a context is known: that of the structure a text ends in, else of its last signs."""
+    """values with log_odds where a context is known, that is, for all but empty values and those of other defects."""
     ends, goes, large, prior = end_model(rows, values)
-    structures = structure_odds(values)
 
     def counts(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         contexts = np.stack(pdf["contexts"].to_numpy())
@@ -195,9 +205,8 @@ def scored(rows: DataFrame, values: DataFrame) -> DataFrame:
             known = pdf["contexts"].notna().to_numpy()
             odds = np.full(len(pdf), np.nan)
             if known.any():
-                odds[known] = terminal.log_odds(counts(pdf[known]), prior)
-            within = pdf["kind"].map(structures)
-            yield pdf[["pair_id", "data_source", "field_name", "kind", "lang"]].assign(log_odds=within.fillna(pd.Series(odds, index=pdf.index)))
+                odds[known] = terminal.log_odds(counts(pdf[known]), prior[pdf["structure"][known].to_numpy()])
+            yield pdf[["pair_id", "data_source", "field_name", "kind", "lang"]].assign(log_odds=odds)
 
     texts = values.withColumn("pair_id", F.col("pair_id").cast("string"))
     for k, table in large.items():
@@ -208,26 +217,46 @@ def scored(rows: DataFrame, values: DataFrame) -> DataFrame:
     return texts.mapInPandas(score, "pair_id string, data_source string, field_name string, kind string, lang string, log_odds double").withColumn("pair_id", F.col("pair_id").cast("bigint"))
 
 
-#: The threshold where a language and column has no open value to learn one from.
+#: The threshold where no end is more likely to go on, or none to stand: there is no valley to look for.
 DEFAULT = -3.0
-#: A threshold lies in this range of log-odds, at the emptiest step between the low and the high mode.
-LOW, HIGH = -5.0, -1.0
+#: What all values together weigh in the histogram of one language and column, in values.
+POOLED = 20.0
 
 
 def thresholds(values: DataFrame) -> dict[tuple[str | None, str], float]:
-    """The threshold of each language and column, from the histogram of the log-odds of the values that are open."""
+    """The threshold of each language and column, from the histogram of the log-odds of all values that are open.
+
+    Ends that more likely go on and ends that more likely stand have a mode each; the threshold lies amid the longest of
+    the emptiest stretches between the two. Few values lean on the histogram of all.
+    """
     step = F.floor(F.col("log_odds") / STEP).cast("int")
     got = values.where("kind = 'open' and log_odds is not null").groupBy("lang", "field_name", step.alias("step")).count().collect()
     by: dict = {}
+    pooled: dict[int, int] = {}
     for r in got:
         by.setdefault((r[0], r[1]), {})[r[2]] = r[3]
+        pooled[r[2]] = pooled.get(r[2], 0) + r[3]
+    total = sum(pooled.values())
+
+    def mode(hist: dict[int, float], side: int) -> int | None:
+        own = {s: n for s, n in hist.items() if (s >= 0) == side}
+        return round(sum(s * n for s, n in own.items()) / sum(own.values())) if own else None
+
     out = {}
-    for key, hist in by.items():
-        steps = range(int(LOW / STEP), int(HIGH / STEP) + 1)
-        near = {s: sum(hist.get(s + d, 0) * w for d, w in ((-2, 1), (-1, 2), (0, 3), (1, 2), (2, 1))) for s in steps}
-        least = min(near.values())
-        at = [s for s in steps if near[s] == least]
-        out[key] = at[len(at) // 2] * STEP
+    for key, own in by.items():
+        hist = {s: own.get(s, 0) + POOLED * n / total for s, n in pooled.items()}
+        low, high = mode(hist, False), mode(hist, True)
+        if low is None or high is None:
+            out[key] = DEFAULT
+            continue
+        near = {s: sum(hist.get(s + d, 0) * w for d, w in ((-2, 1), (-1, 2), (0, 3), (1, 2), (2, 1))) for s in range(low, high + 1)}
+        least, best, run = min(near.values()) + 0.05, [], []
+        for s in range(low, high + 2):
+            if near.get(s, least + 1) <= least:
+                run.append(s)
+            else:
+                best, run = (run if len(run) > len(best) else best), []
+        out[key] = (best[0] + best[-1] + 1) / 2 * STEP
     return out
 
 

@@ -1,126 +1,174 @@
 """Held-out items inside a corpus: prefix-filtered set join with exact verification over item-sized windows.
 
 A document holds an item if it has RUN consecutive words of it, or a passage with all its numbers in order and at least
-SHARE of its words in order. Every window of RUN words needs its rarest word, and a whole passage needs the item's
-rarest number: these words are the prefix by which documents and items are joined. Length and position bounds and exact
-checks follow. Items are a query set: they are sent to the tasks in blocks of a fixed size, and each block is held
-against all documents.
+SHARE of its words in order. Shingles and words are ordered by their rarity in the corpus. Of every window of RUN words
+the rarest shingle is necessary; of a passage one of the rarest words is, as many as make up for the words that it may
+lack, near the item's rarest number. These prefix tokens of both sides are joined, and exact checks follow around the
+places where they meet. Documents and items are both tables: what reaches a task is a bitmap of the prefix tokens, which
+keeps other documents out of the join.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.lineage import materialise
 from ..plans.spread import spread
+from .rarity import SKETCH, among, bitmap, word_hash, word_rarity
 
 RUN, SHARE = 13, 0.75
-#: Items of one block.
-BLOCK = 20_000
+#: Words of a shingle.
+SHINGLE = 5
+#: The prefix tokens of all items are sent to the tasks as a bitmap of at most 2**FILTER_BITS bits.
+FILTER_BITS = 27
 _WORD = re.compile(r"[^\W_]+")
+_M, _B = (1 << 64) - 1, 0x9E3779B97F4A7C15
+#: Salts that keep the kinds of prefix tokens apart.
+_SHINGLES, _NUMBERS, _WORDS, _NEAR, _LONE = (0x51ED270B * (k + 1) for k in range(5))
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def document_frequency(docs: DataFrame, text: str, vocabulary: set[str]) -> Counter:
-    """In how many documents each word of the vocabulary stands; the vocabulary is that of a block of items."""
+def need(n: int, share: float = SHARE) -> int:
+    """Words in order that a passage must have of an item of n words."""
+    return math.ceil(share * n - 1e-9)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
-        for pdf in batches:
-            for t in pdf["t"]:
-                if t:
-                    n.update(vocabulary.intersection(words(t)))
-        yield pd.DataFrame({"w": list(n.keys()), "n": list(n.values())}).astype({"w": object, "n": "int64"})
-
-    got = spread(docs.select(F.col(text).alias("t"))).mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    return Counter({r[0]: r[1] for r in got.collect()})
-
-
-class Items:
-    """A block of items, indexed by the words that a document can't do without if it holds them."""
-
-    def __init__(self, items: list[tuple[int, str]], often: Counter, run: int = RUN, share: float = SHARE):
-        self.run, self.share = run, share
-        self.words = {i: words(q) for i, q in items}
-        self.numbers = {i: [w for w in ws if w.isdigit()] for i, ws in self.words.items()}
-        self.number_set = {i: frozenset(ns) for i, ns in self.numbers.items()}
-        #: word -> (item, positions in the item) for runs, and word -> items for whole passages
-        self.runs: dict[str, list[tuple[int, list[int]]]] = defaultdict(list)
-        self.whole: dict[str, list[int]] = defaultdict(list)
-        for i, ws in self.words.items():
-            at = defaultdict(list)
-            for p, w in enumerate(ws):
-                at[w].append(p)
-            rarest = {min(ws[s : s + run], key=lambda w: (often[w], w)) for s in range(len(ws) - run + 1)}
-            for w in rarest:
-                self.runs[w].append((i, at[w]))
-            if ws:
-                known = self.numbers[i]
-                need = {min(known, key=lambda w: (often[w], w))} if known else set(sorted(set(ws), key=lambda w: (often[w], w))[: len(ws) - int(-(-share * len(ws) // 1)) + 1])
-                for w in need:
-                    self.whole[w].append(i)
-
-    def held(self, text: str) -> dict[int, tuple[bool, bool]]:
-        """item -> (a run of it is held, a whole passage is held)."""
-        ws = words(text)
-        present = set(ws)
-        runs = present & self.runs.keys()
-        found: dict[int, list[bool]] = {}
-        if runs:
-            for p, w in enumerate(ws):
-                if w in runs:
-                    for i, at in self.runs[w]:
-                        if (i not in found or not found[i][0]) and self._run(ws, p, self.words[i], at):
-                            found.setdefault(i, [False, False])[0] = True
-        for w in present & self.whole.keys():
-            for i in self.whole[w]:
-                if self.number_set[i] <= present and len(ws) >= self.share * len(self.words[i]) and self._passage(ws, i):
-                    found.setdefault(i, [False, False])[1] = True
-        return {i: (a, b) for i, (a, b) in found.items()}
-
-    def _run(self, ws: list[str], p: int, item: list[str], at: list[int]) -> bool:
-        for q in at:
-            l = 0
-            while l < p and l < q and ws[p - l - 1] == item[q - l - 1]:
-                l += 1
-            r = 1
-            while p + r < len(ws) and q + r < len(item) and ws[p + r] == item[q + r]:
-                r += 1
-            if l + r >= self.run:
+
+def reach(size: int, share: float = SHARE) -> int:
+    """How far a passage of an item of 2**size words at most goes to either side of one of its words."""
+    return int((1 << size) / share) + 2 * (1 << size) + 16
+
+
+def _mix(*parts):
+    """A 64-bit hash of integers, the same for numbers and arrays of uint64."""
+    h = parts[0]
+    for x in parts[1:]:
+        h = ((h ^ x) * _B & _M) if isinstance(h, int) and isinstance(x, int) else (h ^ x) * np.uint64(_B)
+        h = h ^ (h >> (29 if isinstance(h, int) else np.uint64(29)))
+    return h
+
+
+def prefix_tokens(item: list[str], often: np.ndarray, run: int = RUN, share: float = SHARE) -> list[tuple[int, str, int]]:
+    """(token, kind, position in the item) that a document can't do without if it holds the item.
+
+    kind: run and passage tokens are joined; number and word tokens only let a document's words be tested in pairs.
+    """
+    hashes = [word_hash(w) for w in item]
+    rare = [int(often[h >> 64 - SKETCH]) for h in hashes]
+    out, n = [], len(item)
+    width = min(SHINGLE, run)
+    shingles = []
+    for s in range(n - width + 1):
+        h = 0
+        for x in hashes[s : s + width]:
+            h = (h * _B + x) & _M
+        shingles.append((min(rare[s : s + width]), h, s))
+    chosen = {min(shingles[s : s + run - width + 1]) for s in range(n - run + 1)}
+    out += [(_mix(h, _SHINGLES), "run", s) for _, h, s in chosen]
+    size, lack = n.bit_length(), n - need(n, share) + 1
+    order = sorted(range(n), key=lambda i: (rare[i], hashes[i], i))
+    numbers = [i for i in order if item[i].isdigit()]
+    if not numbers:
+        out += [(_mix(hashes[i], _LONE, size), "passage", i) for i in order[:lack]]
+    else:
+        at = numbers[0]
+        if need(n, share) > len(numbers):
+            near = [i for i in order if not item[i].isdigit()][:lack]
+            out += [(_mix(hashes[at], _NEAR, hashes[i], size), "passage", at) for i in near]
+            out += [(_mix(hashes[i], _WORDS), "word", i) for i in near]
+            out.append((_mix(hashes[at], _NUMBERS), "number", at))
+        else:
+            out.append((_mix(hashes[at], _LONE, size), "passage", at))
+    return list(set(out))
+
+
+class Scan:
+    """Finds the places of a document's words where prefix tokens may stand."""
+
+    def __init__(self, bits: np.ndarray, sizes: list[int], run: int = RUN):
+        self.bits, self.sizes, self.width = bits, sizes, min(SHINGLE, run)
+        self.known: dict[str, int] = {}
+
+    def hits(self, ws: list[str]) -> list[tuple[int, int]]:
+        """(token, position), with some that are no tokens."""
+        for w in set(ws).difference(self.known):
+            self.known[w] = word_hash(w)
+        h = np.array([self.known[w] for w in ws], np.uint64)
+        if len(self.known) > 200_000:
+            self.known.clear()
+        out: list[tuple[int, int]] = []
+
+        def keep(tokens: np.ndarray, at: np.ndarray) -> None:
+            ok = among(self.bits, tokens)
+            out.extend(zip(tokens[ok].tolist(), at[ok].tolist()))
+
+        n = len(h) - self.width + 1
+        if n > 0:
+            gram = np.zeros(n, np.uint64)
+            for k in range(self.width):
+                gram = gram * np.uint64(_B) + h[k : k + n]
+            keep(_mix(gram, np.uint64(_SHINGLES)), np.arange(n))
+        for size in self.sizes:
+            keep(_mix(h, np.uint64(_LONE), np.uint64(size)), np.arange(len(h)))
+        near = np.flatnonzero(among(self.bits, _mix(h, np.uint64(_WORDS))))
+        if len(near):
+            for p in np.flatnonzero(among(self.bits, _mix(h, np.uint64(_NUMBERS)))).tolist():
+                if not ws[p].isdigit():
+                    continue
+                for size in self.sizes:
+                    far = reach(size)
+                    beside = near[np.searchsorted(near, p - far) : np.searchsorted(near, p + far, "right")]
+                    tokens = _mix(np.full(len(beside), h[p], np.uint64), np.uint64(_NEAR), h[beside], np.uint64(size))
+                    if among(self.bits, tokens).any():
+                        keep(np.unique(tokens), np.full(len(np.unique(tokens)), p))
+        return out
+
+
+def holds_run(ws: list[str], p: int, item: list[str], q: int, run: int = RUN) -> bool:
+    """Whether the words around p and around q of the item agree over run words."""
+    l = 0
+    while l < p and l < q and l < run and ws[p - l - 1] == item[q - l - 1]:
+        l += 1
+    r = 0
+    while p + r < len(ws) and q + r < len(item) and l + r < run and ws[p + r] == item[q + r]:
+        r += 1
+    return l + r >= run
+
+
+def holds_passage(ws: list[str], item: list[str], share: float = SHARE) -> bool:
+    """Whether some window of the words has all the item's numbers in order and share of its words in order."""
+    numbers = [w for w in item if w.isdigit()]
+    least, size = need(len(item), share), len(item)
+    wide = int(size / share) + 1
+    if not numbers:
+        own = set(item)
+        return any(_common(item, ws[s : s + wide]) >= least for s in range(0, max(1, len(ws) - least + 1)) if ws[s] in own)
+    before = item.index(numbers[0])
+    for s, w in enumerate(ws):
+        if w != numbers[0]:
+            continue
+        e, k = s, 1
+        while k < len(numbers) and e - s < wide:
+            e += 1
+            if e >= len(ws):
+                break
+            if ws[e] == numbers[k]:
+                k += 1
+        if k == len(numbers):
+            if _common(item, ws[max(0, s - 2 * before - 4) : max(e + 1, s - before + wide + 4)]) >= least:
                 return True
-        return False
-
-    def _passage(self, ws: list[str], i: int) -> bool:
-        item, numbers = self.words[i], self.numbers[i]
-        need, size = self.share * len(item), len(item)
-        wide = int(size / self.share) + 1
-        if not numbers:
-            return any(_common(item, ws[s : s + wide]) >= need for s in range(0, max(1, len(ws) - int(need) + 1)) if ws[s] in set(item))
-        before = next(k for k, w in enumerate(item) if w == numbers[0])
-        for s, w in enumerate(ws):
-            if w != numbers[0]:
-                continue
-            e, k = s, 1
-            while k < len(numbers) and e - s < wide:
-                e += 1
-                if e >= len(ws):
-                    break
-                if ws[e] == numbers[k]:
-                    k += 1
-            if k == len(numbers):
-                lo = max(0, s - 2 * before - 4)
-                window = ws[lo : max(e + 1, lo + wide + before + 8)]
-                if _common(item, window) >= need:
-                    return True
-        return False
+    return False
 
 
 def _common(a: list[str], b: list[str]) -> int:
@@ -136,29 +184,67 @@ def _common(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", question: str = "question", block: int = BLOCK) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", question: str = "question", salts: int = 8) -> DataFrame:
     """doc_key, item_key, run, passage for each document that holds an item.
 
     run: RUN consecutive words of the item; passage: all its numbers in order and SHARE of its words in order. Words
     are runs of letters and digits without regard to case. Null and empty texts and questions hold and are held by
-    nothing; a question of fewer than RUN words is found as a passage only. Repeated rows are each reported. Items of
-    equal key count as one, the last. Extra columns are ignored.
+    nothing; a question of fewer than RUN words is found as a passage only. Rows that repeat key and text count as one,
+    as do items of equal key and question. Extra columns are ignored.
     """
-    keys = items.where(F.col(question).isNotNull()).select(F.col(item_key).alias("i"), F.col(question).alias("q"))
-    n = keys.count()
-    blocks = max(1, -(-n // block))
-    parts = []
-    for b in range(blocks):
-        # a block has some block rows at most; blocks are held against all documents one after the other
-        own = [(r[0], r[1]) for r in keys.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]
-        often = document_frequency(docs, text, {w for _, q in own for w in words(q)})
-        index = Items(own, often)
-
-        def find(batches: Iterator[pd.DataFrame], index: Items = index) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = [(k, i, *how) for k, t in zip(pdf["k"], pdf["t"]) if t for i, how in index.held(t).items()]
-                yield pd.DataFrame(out, columns=["k", "i", "run", "passage"])
-
-        kind = dict(items.dtypes)[item_key]
-        parts.append(spread(docs.select(F.col(doc_key).cast("string").alias("k"), F.col(text).alias("t"))).mapInPandas(find, f"k string, i {kind}, run boolean, passage boolean"))
-    return reduce(DataFrame.unionByName, parts).select(F.col("k").cast(dict(docs.dtypes)[doc_key]).alias(doc_key), F.col("i").alias(item_key), "run", "passage")
+    texts = docs.select(F.col(doc_key).cast("string").alias("k"), F.col(text).alias("t")).where("t is not null")
+    asked = items.select(F.col(item_key).cast("string").alias("i"), F.col(question).alias("q")).where("i is not null and q is not null").distinct()
+    often = word_rarity(texts.select("t"), words)
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, q in zip(pdf["i"], pdf["q"]):
+                ws = words(q)
+                out += [(i, q, len(ws).bit_length(), t - (1 << 63), kind, at) for t, kind, at in (prefix_tokens(ws, often) if ws else [])]
+            yield pd.DataFrame(out, columns=["i", "q", "size", "token", "kind", "at"])
+
+    prefix = materialise(spread(asked).mapInPandas(tokens, "i string, q string, size int, token bigint, kind string, at int"), "prefix")
+    sizes = sorted(r[0] for r in prefix.select("size").distinct().collect())
+    many = prefix.count()
+    size = min(FILTER_BITS, max(16, (32 * many).bit_length()))
+    # tokens are kept as signed numbers: their first bit is turned back
+    bits = bitmap(prefix.select(F.col("token").bitwiseXOR(F.lit(-(1 << 63)))), size)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scanner = Scan(bits, sizes)
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf["k"], pdf["t"]):
+                ws = words(t)
+                if ws and (hits := scanner.hits(ws)):
+                    row = xxhash.xxh3_128_hexdigest(f"{k}\0{t}".encode("utf-8", "surrogatepass"))
+                    out.append((row, k, " ".join(ws), [h - (1 << 63) for h, _ in hits], [p for _, p in hits]))
+            yield pd.DataFrame(out, columns=["row", "k", "words", "tokens", "places"])
+
+    found = materialise(spread(texts).mapInPandas(scan, "row string, k string, words string, tokens array<bigint>, places array<int>"), "hits")
+    salt = lambda c: F.pmod(F.hash(c), F.lit(salts))
+    hits = found.select("row", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select("row", F.col("x.tokens").alias("token"), F.col("x.places").alias("place"), salt("row").alias("salt"))
+    own = prefix.where("kind in ('run', 'passage')").select("i", "q", "token", "kind", F.col("at").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    met = hits.join(own, ["token", "salt"]).groupBy("row", "i", "q").agg(F.collect_set(F.struct("kind", "place", "of")).alias("at"))
+    held = met.join(found.select("row", "k", "words").dropDuplicates(["row"]), "row")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = lru_cache(1000)(words)
+        for pdf in batches:
+            out = []
+            for k, i, q, at, text in zip(pdf["k"], pdf["i"], pdf["q"], pdf["at"], pdf["words"]):
+                ws, item = text.split(" "), of(q)
+                run = any(holds_run(ws, x["place"], item, x["of"]) for x in at if x["kind"] == "run")
+                far, done, passage = reach(len(item).bit_length()), -1, False
+                for p in sorted(x["place"] for x in at if x["kind"] == "passage"):
+                    # windows of neighbouring places that the last one covered aren't searched again
+                    if not passage and p > done:
+                        done = p + far
+                        passage = holds_passage(ws[max(0, p - far) : p + 2 * far], item)
+                if run or passage:
+                    out.append((k, i, run, passage))
+            yield pd.DataFrame(out, columns=["k", "i", "run", "passage"])
+
+    got = held.mapInPandas(verify, "k string, i string, run boolean, passage boolean")
+    return got.select(F.col("k").cast(dict(docs.dtypes)[doc_key]).alias(doc_key), F.col("i").cast(dict(items.dtypes)[item_key]).alias(item_key), "run", "passage")

@@ -18,8 +18,10 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CAPACITY = 2048
 OPEN_BINS = 64
-#: Containers of one task. The bins that are open when a task ends are all that is lost against one long run.
-CONTAINERS_PER_TASK = 2000
+#: Tasks at most, whatever the size of the table.
+MOST_PARTS = 20_000
+#: Containers of one group, which is packed on its own. The bins that are open when a group ends are all that is lost against one long run.
+CONTAINERS_PER_GROUP = 2000
 
 
 def token_counts(rows: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -75,18 +77,21 @@ class Bins:
         return number, items, self.capacity - free
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, most_parts: int = MOST_PARTS) -> DataFrame:
     """key, piece, container, place, offset, tokens for (key, tokens) rows.
 
     A text longer than a container is cut into full ones and a rest, which is an item like others; no other text is
-    split. Texts without a token (null, empty) need no place and have no row. Rows of one key are separate items. Tasks
-    are cut by hash so that each fills some CONTAINERS_PER_TASK containers, whatever the size of the table, and take
-    their items in order of that hash: a task that runs again makes the same containers.
+    split. Texts without a token (null, empty) need no place and have no row. Rows of one key are separate items. Groups
+    are cut by hash so that each fills some CONTAINERS_PER_GROUP containers, whatever the size of the table, and take
+    their items in order of that hash: a task that runs again makes the same containers. A task packs groups one after
+    the other; there are most_parts tasks at most, each with an equal number of groups.
     """
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    tasks = max(1, round(total / (capacity * CONTAINERS_PER_TASK)))
+    groups = max(1, round(total / (capacity * CONTAINERS_PER_GROUP)))
     order = F.xxhash64(F.col(key).cast("string"))
-    items = sizes.where("tokens > 0").select(F.col(key).cast("string").alias("k"), "tokens", F.coalesce(order, F.lit(0)).alias("h")).withColumn("task", F.pmod("h", F.lit(tasks)).cast("int"))
+    items = sizes.where("tokens > 0").select(F.col(key).cast("string").alias("k"), "tokens", F.coalesce(order, F.lit(0)).alias("h")).withColumn("task", F.pmod("h", F.lit(groups)).cast("int"))
+    parts = min(groups, most_parts)
+    dealt = items.repartitionById(parts, (F.col("task") % parts).cast("int"))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins: Bins | None = None
@@ -106,7 +111,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, open_b
             yield pd.DataFrame(out, columns=["k", "piece", "container", "place", "offset", "tokens"])
 
     kind = dict(sizes.dtypes)[key]
-    got = items.repartition(tasks, "task").sortWithinPartitions("task", "h", "k", "tokens").mapInPandas(fill, "k string, piece int, container bigint, place int, offset int, tokens int")
+    got = dealt.sortWithinPartitions("task", "h", "k", "tokens").mapInPandas(fill, "k string, piece int, container bigint, place int, offset int, tokens int")
     return got.select(F.col("k").cast(kind).alias(key), "piece", "container", "place", "offset", "tokens")
 
 

@@ -21,14 +21,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.lineage import materialise
 from ..plans.spread import spread
 from .question import credit_of, credit_parts, is_number, strip_template, tokens
+from .rarity import SKETCH, word_hash, word_rarity
 
 MAX_EDITS = 4
 #: Seeds of one key and side in a block.
 BLOCK = 512
 #: Words of a gram at most; a longer shared run widens the window instead.
 LONGEST_GRAM = 16
-#: Word frequencies are kept in 2**SKETCH counters: a megabyte, whatever the vocabulary. They only order seeds.
-SKETCH = 20
 _M, _B = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
@@ -95,17 +94,13 @@ def _credited(parsed: DataFrame, contests: DataFrame | None) -> DataFrame:
     return parsed.select("pair_id", "data_id", "split", "data_source", credit.alias("credit"), pick("numbers"), pick("klass"), pick("words"))
 
 
-def _word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
-
-
 def shared_run(n: int) -> int:
     """Words in a row that a text of n words shares with every partner of at least as many words, at least."""
     return max(1, -(-(n - MAX_EDITS) // (MAX_EDITS + 1)))
 
 
 def rarity_of(words: list[str], often: np.ndarray | None) -> list[int]:
-    return [0] * len(words) if often is None else [int(often[_word_hash(w) >> 64 - SKETCH]) for w in words]
+    return [0] * len(words) if often is None else [int(often[word_hash(w) >> 64 - SKETCH]) for w in words]
 
 
 def winnow(words: list[str], run: int, often: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -113,7 +108,7 @@ def winnow(words: list[str], run: int, often: np.ndarray | None = None) -> list[
 
     A run of one word leaves no window; then the rarest MAX_EDITS + 1 words are taken, one of which partners share.
     """
-    hashes, rare = [_word_hash(w) for w in words], rarity_of(words, often)
+    hashes, rare = [word_hash(w) for w in words], rarity_of(words, often)
     if run == 1:
         order = sorted(range(len(words)), key=lambda i: (rare[i], hashes[i], i))
         return [(hashes[i], i) for i in order[: MAX_EDITS + 1]]
@@ -210,27 +205,13 @@ def aligned(a: list[str], b: list[str]) -> int:
     return total
 
 
-def word_rarity(classes: DataFrame) -> np.ndarray:
-    """How often the words of each counter stand in the texts, as a power of two. Of fixed size."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(1 << SKETCH, np.int64)
-        for pdf in batches:
-            for text in pdf["words"]:
-                for w in set(text.split(" ")):
-                    n[_word_hash(w) >> 64 - SKETCH] += 1
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"at": at.astype(np.int32), "n": n[at]})
-
-    got = spread(classes.select("words")).mapInPandas(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH, np.uint8)
-    out[got["at"].to_numpy()] = np.log2(got["n"].to_numpy().astype(np.float64)).astype(np.uint8) + 1
-    return out
+def _split(text: str) -> list[str]:
+    return text.split(" ")
 
 
 def _seed_rows(classes: DataFrame) -> DataFrame:
     """key, klass, at, n, in_a, in_b: the seeds of each class."""
-    often = word_rarity(classes)
+    often = word_rarity(classes.select("words"), _split)
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -1,8 +1,9 @@
 """Text ends: closed structures, and a backward character n-gram model of ends against continuations.
 
 The model counts, for the contexts of ORDERS characters that end some value, how often they are the end of a value and
-how often a value goes on after them, over all values. Counts are kept by hash; digits count as one sign and runs of
-white space as one blank or line end. Longer contexts are interpolated with shorter ones, and a value's own end is
+how often a value goes on after them, over all values. The structure that is open at a place (JSON object, reasoning
+block, code block, formula) is a sign of its context, nearer than any character. Counts are kept by hash; digits count
+as one sign and runs of white space as one blank or line end. Longer contexts are interpolated with shorter ones, and a value's own end is
 taken off the counts before its log-odds are compared with the threshold of its language and column. Contexts are
 known by a hash of 63 bits, whatever the size of the table; a task holds the counts of at most 2**BITS an order.
 """
@@ -27,14 +28,59 @@ _BLANKS = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x2029, 0x202F, 0
 _GONE = np.array([*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD], np.uint32)
 
 
-def _signs(texts: list[str]) -> np.ndarray:
-    """Code points of all texts, each closed by a 0; digit and blank runs are one sign each."""
-    raw = np.frombuffer(("\0".join(texts) + "\0").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+#: Structures that a text can be in. Their numbers, from 1, are signs of the context.
+STRUCTURES = ("json", "think", "code", "formula")
+_TAG = re.compile(r"<(/?)(think|answer|reasoning|thought|scratchpad)>", re.I)
+_OBJECT = re.compile(r"\s*\{(?!\\)")
+
+
+def structures(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, number) of the places at which a structure is open, inner ones later."""
+    if _OBJECT.match(text):
+        return [(0, len(text) - 1, 1)]
+    out: list[tuple[int, int, int]] = []
+    for mark, number in (("$", 4), ("```", 3)):
+        at = text.find(mark)
+        while at >= 0:
+            close = text.find(mark, at + len(mark))
+            out.append((at, len(text) if close < 0 else close + len(mark) - 1, number))
+            at = text.find(mark, close + len(mark)) if close >= 0 else -1
+    if "<" in text:
+        depth, start = 0, 0
+        for m in _TAG.finditer(text):
+            if m[1]:
+                depth = max(0, depth - 1)
+                if not depth:
+                    out.append((start, m.end() - 1, 2))
+            else:
+                start = start if depth else m.start()
+                depth += 1
+        if depth:
+            out.append((start, len(text), 2))
+    return out
+
+
+def _signs(texts: list[str], codes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, each closed by a 0, and the structure at each; digit and blank runs are one sign each.
+
+    codes: the structure of each whole text, if they are tails.
+    """
+    low = [t.lower() for t in texts]
+    raw = np.frombuffer(("\0".join(low) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(raw), np.uint8)
+    at = 0
+    for k, t in enumerate(low):
+        if codes is not None:
+            inside[at : at + len(t)] = codes[k]
+        elif "$" in t or "<" in t or "```" in t or "{" in t[:1] or t[:1].isspace():
+            for start, end, number in structures(t):
+                inside[at + start : at + end] = number
+        at += len(t) + 1
     high = raw > 126
     if high.any():
-        drop = np.zeros(len(raw), bool)
-        drop[high] = np.isin(raw[high], _GONE)
-        raw = raw[~drop]
+        keep = np.ones(len(raw), bool)
+        keep[high] = ~np.isin(raw[high], _GONE)
+        raw, inside = raw[keep], inside[keep]
     raw = raw.copy()
     raw[(raw >= 48) & (raw <= 57)] = 48
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -45,7 +91,18 @@ def _signs(texts: list[str]) -> np.ndarray:
     starts = np.ones(len(raw), bool)
     starts[1:] = ~((blank[1:] & blank[:-1]) | ((raw[1:] == 48) & (raw[:-1] == 48)))
     at = np.flatnonzero(starts)
-    return np.minimum.reduceat(raw, at) if len(at) else raw
+    return (np.minimum.reduceat(raw, at), inside[at]) if len(at) else (raw, inside)
+
+
+_RUNS = re.compile(r"\d+|\s+")
+
+
+def tail(text: str, n: int) -> str:
+    """The end of the first n characters of a text, with all signs that a context can hold."""
+    size = 96
+    while size < n and len(_RUNS.sub("0", text[n - size : n])) < 2 * max(ORDERS):
+        size *= 2
+    return text[max(0, n - size) : n]
 
 
 def _mix(h: np.ndarray, sign: np.ndarray, k: int) -> np.ndarray:
@@ -100,18 +157,18 @@ class Perhaps:
         return (self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(np.int8) - 1
 
 
-def _contexts(signs: np.ndarray, at: np.ndarray, keep: list[Wanted | Perhaps] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+def _contexts(signs: np.ndarray, inside: np.ndarray, at: np.ndarray, keep: list[Wanted | Perhaps] | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(order, hashes) of the contexts that end at the given places; beyond the start of a text every sign is 0.
 
     keep: positions among the wanted contexts then stand for hashes, but for Perhaps. A place that isn't wanted is left
     out from then on, since a longer context is wanted only where all shorter ones are.
     """
     wide = np.concatenate([np.zeros(max(ORDERS), np.uint64), signs.astype(np.uint64)])
+    h, here = inside[at].astype(np.uint64) * _MUL, np.ones(len(at), np.uint64)
     at = at + max(ORDERS)
-    h, inside = np.zeros(len(at), np.uint64), np.ones(len(at), np.uint64)
     for k in range(max(ORDERS)):
-        sign = wide[at - k] * inside
-        inside = (sign != 0).astype(np.uint64)
+        sign = wide[at - k] * here
+        here = (sign != 0).astype(np.uint64)
         h = _mix(h, sign, k)
         if k + 1 in ORDERS:
             b = (h >> np.uint64(1)).astype(np.int64)
@@ -120,28 +177,31 @@ def _contexts(signs: np.ndarray, at: np.ndarray, keep: list[Wanted | Perhaps] |
                 found = among.find(b)
                 wanted = found >= 0
                 b = b if isinstance(among, Perhaps) else found
-                at, h, inside, b = at[wanted], h[wanted], inside[wanted], b[wanted]
+                at, h, here, b = at[wanted], h[wanted], here[wanted], b[wanted]
             yield k + 1, b
 
 
-def end_contexts(tails: list[str]) -> np.ndarray:
-    """One row of hashes for each tail (the last characters of a value, without blanks at the end)."""
+def end_contexts(tails: list[str], codes: list[int] | None = None) -> np.ndarray:
+    """One row of hashes for each tail (the last characters of a value, without blanks at the end) and open structure."""
     if not tails:
         return np.zeros((0, len(ORDERS)), np.int64)
-    signs = _signs(tails)
-    return np.stack([b for _, b in _contexts(signs, np.flatnonzero(signs == 0) - 1)], axis=1)
+    signs, inside = _signs(tails, codes or [0] * len(tails))
+    return np.stack([b for _, b in _contexts(signs, inside, np.flatnonzero(signs == 0) - 1)], axis=1)
 
 
 def continuations(batches: Iterator[list[str]], wanted: list[Wanted | Perhaps]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(order, keys, counts): how often texts go on after the wanted contexts.
+    """(order, keys, counts): how often texts go on after the wanted contexts; of order 0, in each structure.
 
     The keys of Perhaps are whole hashes; they may come several times, and some belong to no end.
     """
     counts = {k: np.zeros(len(w.keys), np.int64) for k, w in zip(ORDERS, wanted) if isinstance(w, Wanted)}
     held: dict[int, list[np.ndarray]] = {k: [] for k in ORDERS if k not in counts}
+    within = np.zeros(len(STRUCTURES) + 1, np.int64)
     for texts in batches:
-        signs = _signs(texts)
-        for k, b in _contexts(signs, np.flatnonzero((signs[:-1] != 0) & (signs[1:] != 0)), wanted):
+        signs, inside = _signs(texts)
+        places = np.flatnonzero((signs[:-1] != 0) & (signs[1:] != 0))
+        within += np.bincount(inside[places], minlength=len(within))
+        for k, b in _contexts(signs, inside, places, wanted):
             if k in counts:
                 counts[k] += np.bincount(b, minlength=len(counts[k]))
                 continue
@@ -149,6 +209,7 @@ def continuations(batches: Iterator[list[str]], wanted: list[Wanted | Perhaps])
             if sum(map(len, held[k])) >= HELD:
                 yield k, *np.unique(np.concatenate(held[k]), return_counts=True)
                 held[k] = []
+    yield 0, np.arange(len(within)), within
     for order, w in zip(ORDERS, wanted):
         if order in counts:
             n = counts[order]
@@ -157,9 +218,12 @@ def continuations(batches: Iterator[list[str]], wanted: list[Wanted | Perhaps])
             yield order, *np.unique(np.concatenate(held[order]), return_counts=True)
 
 
-def log_odds(counts: Iterable[tuple[np.ndarray, np.ndarray]], prior: float) -> np.ndarray:
-    """Log-odds of an end against a continuation; counts: of ends and continuations in the context of each order."""
-    p: float | np.ndarray = prior
+def log_odds(counts: Iterable[tuple[np.ndarray, np.ndarray]], prior: np.ndarray) -> np.ndarray:
+    """Log-odds of an end against a continuation; counts: of ends and continuations in the context of each order.
+
+    prior: the share of ends in the structure that each text ends in.
+    """
+    p = prior
     for ends, goes in counts:
         # a value's own end is taken off
         e = np.maximum(ends - 1, 0)
@@ -169,11 +233,12 @@ def log_odds(counts: Iterable[tuple[np.ndarray, np.ndarray]], prior: float) -> n
 
 
 _EDGE = re.compile(r"[\s​-‏⁠﻿­\x85\xa0]+\Z")
-_MARK = re.compile(r"(?:…|\.\.\.|�|[\[<(]\s*(?:cut|truncated|cut off|output truncated|continued|snip|trimmed|abgeschnitten|cortado|tronqué)[^\]>)]{0,20}[\]>)]|\\u[0-9a-f]{0,3})\Z", re.I)
+_MARK = re.compile(r"(?:…|\.\.\.|�|\\u[0-9a-f]{0,3})\Z", re.I)
+_NOTE = re.compile(r"\s*(?:cut|truncated|output truncated|continued|snip|trimmed|abgeschnitten|cortado|tronqué)", re.I)
+_NOTES = {"]": "[", ")": "(", ">": "<"}
 _CHAT_END = re.compile(r"(?:<\|[a-z_]+\|>|</s>)\Z", re.I)
 _STOP = ".!?。！？؟।"
 _CLOSERS = "\"'”’»)」』】）*_"
-_TAG = re.compile(r"<(/?)(think|answer|reasoning|thought|scratchpad)>", re.I)
 
 
 def bare(text: str) -> str:
@@ -206,52 +271,36 @@ def _json_open(text: str) -> bool:
     return inside or depth > 0 or not text.endswith("}")
 
 
-#: Structures that a text can be in when it ends. Each is a sign of the context, nearer than any character.
-STRUCTURES = ("json", "think", "code", "formula")
+def _mark(text: str) -> int:
+    """Where a mark begins that a cut has left at the end of a text, -1 for none."""
+    if (opener := _NOTES.get(text[-1])) and (at := text.rfind(opener)) >= 0:
+        note = text[at + 1 : -1]
+        return at if _NOTE.match(note) and "\n" not in note else -1
+    # a mark of signs has six at most
+    m = _MARK.search(text, max(0, len(text) - 6))
+    return m.start() if m else -1
 
 
-def state(text: str) -> tuple[str, int, list[int]]:
-    """(state, length, inside) for a text that bare() returned and that isn't empty.
+def state(text: str) -> tuple[str, int, int]:
+    """(state, length, structure) for a text that bare() returned and that isn't empty.
 
     state: mark (a mark left by a cut), one of STRUCTURES that is open at the end, whole (the text ends in a sentence
-    stop or closes a structure) or open. length: of the text without the mark. inside: signs within each structure,
-    that is, places where a text goes on in that context.
+    stop or closes a structure) or open. length: of the text without the mark. structure: the number of the open one, or 0.
     """
-    inside = [0, 0, 0, 0]
-    if m := _MARK.search(text[-40:]):
-        return "mark", len(bare(text[: len(text) - len(text[-40:]) + m.start()])), inside
+    if (at := _mark(text)) >= 0:
+        n = len(bare(text[:at]))
+        return "mark", n, next((k for s, e, k in reversed(structures(text[:n])) if e >= n - 1), 0)
     n = len(text)
-    head = text[:40].lstrip()
-    if head[:1] == "{" and not head.startswith("{\\"):
-        inside[0] = n - 1
-        return "json" if _json_open(text.strip()) else "whole", n, inside
-    within = ""
-    if "<" in text:
-        opened, at = 0, 0
-        for m in _TAG.finditer(text):
-            if m[1] and opened:
-                inside[1] += m.start() - at
-            at = m.end()
-            opened += -1 if m[1] else 1
-        if opened > 0:
-            inside[1] += n - at
-            within = "think"
-    if "```" in text:
-        parts = text.split("```")
-        inside[2] = sum(map(len, parts[1::2]))
-        if len(parts) % 2 == 0:
-            within = within or "code"
-        elif text.endswith("```"):
-            return within or "whole", n, inside
-    if "$" in text:
-        parts = text.split("$")
-        inside[3] = sum(map(len, parts[1::2]))
-        if len(parts) % 2 == 0 and text[-1] not in _STOP:
-            within = within or "formula"
+    if _OBJECT.match(text):
+        cut = _json_open(text.strip())
+        return ("json", n, 1) if cut else ("whole", n, 0)
+    within = max((k for s, e, k in structures(text) if e == n), key=(4, 3, 2).index, default=0)
+    if within == 4 and text[-1] in _STOP:
+        within = 0
     if within:
-        return within, n, inside
+        return STRUCTURES[within - 1], n, within
     end = text.rstrip(_CLOSERS)
     last = end[-1:]
-    if text.endswith(("\\)", "\\]")) or (last and last in _STOP and not (last == "." and end[-2:-1].isdigit())):
-        return "whole", n, inside
-    return "open", n, inside
+    if text.endswith(("\\)", "\\]", "```")) or (last and last in _STOP and not (last == "." and end[-2:-1].isdigit())):
+        return "whole", n, 0
+    return "open", n, 0

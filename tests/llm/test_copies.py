@@ -45,6 +45,13 @@ def test_a_class_of_a_third_of_all_rows(spark):
     assert got.agg(F.count("*"), F.min("keep_id"), F.max("keep_id"), F.min("copies")).first() == (20_000, 0, 0, 20_000)
 
 
+def test_collapse_keeps_one_row_of_repeated_and_null_keys(spark):
+    d = spark.createDataFrame([(5, *BASE), (5, *BASE), (5, "other", None, None), (None, "SOLVE what is 4 - 2", BASE[1], BASE[2]), (None, "lone", "a", "b"), (None, "Lone!", "a", "b")], SCHEMA).withColumn("n", F.lit("kept"))
+    got = sorted((r["pair_id"] or 0, r["prompt"].lower().strip("!"), r["copies"], r["n"]) for r in copies.collapse(d).collect())
+    assert got == [(0, "lone", 2, "kept"), (5, "other", 1, "kept"), (5, BASE[0].lower(), 3, "kept")]
+    assert sorted((r["pair_id"] or 0, r["copies"]) for r in copies.formatting_copies(d).collect()) == [(0, 2), (0, 2), (0, 3), (5, 3), (5, 3)]
+
+
 def test_empty(spark):
     assert copies.formatting_copies(spark.createDataFrame([], SCHEMA)).count() == 0
     assert copies.collapse(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -36,6 +36,25 @@ def test_languages_and_refusals():
     assert language("因此小岚还剩下530个梨") == "zh" and language("") is None and language("12 34") is None
     assert refuses("I'm sorry, but I can't help with this request.") and refuses("很抱歉，我无法回答这个问题。")
     assert not refuses("I cannot help smiling at this one: 5 + 5 = 10.")
+    assert refuses("I cannot help with problem 3.") and refuses("I must pass on this one. " + "Please ask a teacher about it instead. " * 30)
+    assert not refuses("I cannot help smiling at this one. This means that 597 violin string")
+    assert refuses("Desculpe, mas não posso responder a esta pergunta.") and refuses("Извините, но я не могу ответить на этот вопрос.") and refuses("申し訳ありませんが、この質問にはお答えできません。")
+    assert language("Мы делим обе стороны на семь и получаем ответ.") == "ru" and language("まず、両辺を七で割ると、答えが出ます。") == "ja" and language("日本語の回答をここに示します。") == "ja"
+    assert language("Então, primeiro há mais para cada uma das caixas, mas não são as outras.") == "pt" and language("Allora il numero delle scatole è più di quello che si vede, ma non sono tutte.") == "it"
+
+
+def test_marks_and_sign_offs_of_any_length():
+    assert terminal.state("So we get to the [output truncated since the limit of tokens was reached at this point]")[0] == "mark"
+    assert terminal.state("The paper is folded (see below)")[0] == "open" and terminal.state("and so\\u00")[0] == "mark"
+    name = "Ab" + "c" * 200
+    assert defects.signed(f"That is all.\n\nBest regards,\n{name}", ["ask", name.lower() + "."]) and not defects.signed(f"Best regards,\n{name}", ["ask"])
+    assert len(terminal.tail("so it is " + "1" * 5000, 5009)) > 200
+
+
+def test_structures_are_signs_of_the_context():
+    assert terminal.structures("we pay $5 and $6 more") == [(10 - 3, 14, 4)] and terminal.structures('{"a": 1}') == [(0, 7, 1)]
+    plain, within = terminal.end_contexts(["so it is"], [0]), terminal.end_contexts(["so it is"], [2])
+    assert (plain != within).all() and (terminal.end_contexts(["so it is"]) == plain).all()
 
 
 def test_copies():
@@ -43,6 +62,8 @@ def test_copies():
     assert defects.copies_question(q, QUESTION.lower().replace("left", "there").split())
     assert not defects.copies_question(q, ("First we compute 97 + 346 = 443, which gives the number of green dominoes. " * 2).lower().split())
     assert not defects.copies_question([], [])
+    assert defects.copies_question(q, ["again:"] + q + q) and defects.copies_question(q, q * 5)
+    assert not defects.copies_question(q, q + "i would say that the pupils of this place share them out by colour first , then by size , and leave a good part of them for the next year , as kelvar wished".split())
 
 
 def test_continuations_against_plain_counts():

@@ -65,7 +65,25 @@ def test_runs_against_brute_force(spark):
     got = leakage.leaked_items(d, it)
     want = {(k, i) for k, t in docs for i, q in items if plain_held(t, q)}
     assert {(r["doc_id"], r["item_id"]) for r in got.where("run").collect()} == want and want
-    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(d, it, block=5).where("run").collect()} == want
+    twice = leakage.leaked_items(d.unionByName(d), it.unionByName(it)).where("run").collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in twice) == sorted(want)
+
+
+def test_passages_against_a_plain_search(spark):
+    """Every item is looked for in every document; the join may lose none, whatever the rarity of its words."""
+    rng = random.Random(12)
+    word = lambda: rng.choice("red blue kite stone tower river walks 3 12 7 900 over under the a of".split())
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 6, 12, 20, 40])))) for i in range(25)]
+    docs = []
+    for i in range(150):
+        q = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, len(q) // 3)):
+            at = rng.randrange(len(q))
+            q[at : at + 1] = rng.choice([[word()], [], [q[at], word()]])
+        docs.append((i, " ".join([*(word() for _ in range(rng.choice([0, 5, 300]))), *q, *(word() for _ in range(rng.choice([0, 5, 300])))])))
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id bigint, question string")).where("passage").collect()}
+    want = {(k, i) for k, t in docs for i, q in items if leakage.holds_passage(t.split(), q.split())}
+    assert got == want and want
 
 
 def test_passages(spark):
@@ -110,6 +128,14 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, tokens bigint")).count() == 0
 
 
+def test_groups_share_a_bounded_number_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CONTAINERS_PER_GROUP", 5)
+    d = spark.range(2000).selectExpr("id as doc_id", "id % 60 + 1 as tokens")
+    few, many = packing.pack(d, capacity=64, most_parts=3), packing.pack(d, capacity=64, most_parts=10_000)
+    assert few.rdd.getNumPartitions() == 3 and many.rdd.getNumPartitions() > 100
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_best_fit_closes_the_fullest():
     b = packing.Bins(10, 2)
     assert [b.place(n)[0] for n in (6, 5, 4, 7)] == [0, 1, 0, 2]
