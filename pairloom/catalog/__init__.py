@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extras, grading, io, layout, metrics, pairs, tokens
+from . import answers, extras, grading, io, layout, metrics, pairs, tensors, tokens
 
-_PARTS = (pairs, metrics, grading, layout, tokens, extras, io)
+_PARTS = (pairs, metrics, grading, answers, layout, tokens, tensors, extras, io)
 
 
 def queries() -> dict:

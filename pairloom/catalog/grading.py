@@ -10,21 +10,31 @@ from ..sources.tables import table
 
 C = Catalog()
 _TRIG = r"The answer is:\s*[''\"]?([^\n.]+?)[''\"]?(?:[\n.]|$)"
-_BOX = r"\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"
+# a box with at most one level of braces inside, as nested alternatives of RE2
+_BOX = r"\\boxed\s*\{((?:[^{}]|\{[^{}]*\})+)\}"
+_BARE = "regexp_replace(trim(v), '(?s)^\\{(.*)\\}$', '\\1')"
+_FIRST = "list_filter(a, lambda v, i: list_position(a, v) = i)"
 
 
 @C.add(f"""WITH x AS (SELECT log_id, regexp_extract_all(generation, '{_TRIG}', 1) AS t, regexp_extract_all(generation, '{_BOX}', 1) AS b FROM eval_log)
-SELECT log_id, CASE WHEN len(t) > 0 THEN trim(t[-1]) WHEN len(b) > 0 THEN trim(b[-1]) END AS answer FROM x""")
+SELECT log_id, coalesce(nullif(trim(t[-1]), ''), trim(list_transform(b, lambda v: {_BARE})[-1])) AS answer FROM x""")
 def extract_last(s, sf):
     return table(s, sf, "eval_log").select("log_id", T.last_answer(F.col("generation")).alias("answer"))
 
 
-@C.add(f"""WITH x AS (SELECT pair_id, list_concat(list_transform(regexp_extract_all(chosen, '{_TRIG}', 1), lambda v: trim(v)), list_transform(regexp_extract_all(chosen, '{_BOX}', 1), lambda v: trim(v))) AS a FROM repo_train WHERE chosen IS NOT NULL)
-SELECT pair_id, CASE WHEN len(a) > 0 THEN array_to_string(a, '|') END AS answers FROM x""")
+@C.add(f"""WITH x AS (SELECT pair_id, list_filter(list_transform(list_concat(regexp_extract_all(chosen, '{_TRIG}', 1),
+ list_transform(regexp_extract_all(chosen, '{_BOX}', 1), lambda v: {_BARE})), lambda v: trim(v)), lambda v: v <> '') AS a FROM repo_train WHERE chosen IS NOT NULL)
+SELECT pair_id, CASE WHEN len(a) > 0 THEN array_to_string({_FIRST}, '|') END AS answers FROM x""")
 def extract_all(s, sf):
     d = table(s, sf, "repo_train").where("chosen is not null")
-    found = F.concat(T.answers_after(F.col("chosen")), T.boxed(F.col("chosen")))
-    return d.select("pair_id", F.when(F.size(found) > 0, F.array_join(found, "|")).alias("answers"))
+    return d.select("pair_id", F.array_join(T.all_answers(F.col("chosen")), "|").alias("answers"))
+
+
+@C.add(f"""WITH x AS (SELECT pair_id, list_filter(list_transform(regexp_extract_all(chosen, '{_TRIG}', 1), lambda v: trim(v)), lambda v: v <> '') AS a
+ FROM repo_train WHERE chosen IS NOT NULL) SELECT pair_id, CASE WHEN len(a) > 0 THEN array_to_string({_FIRST}, '|') END AS answers FROM x""")
+def extract_triggered(s, sf):
+    d = table(s, sf, "repo_train").where("chosen is not null")
+    return d.select("pair_id", F.array_join(T.all_answers(F.col("chosen"), with_boxed=False), "|").alias("answers"))
 
 
 @C.add(r"""SELECT log_id, TRY_CAST(nullif(list_extract(regexp_extract_all(generation, 'The answer is:\s*([-+]?\d+(?:\.\d+)?)', 1), -1), '') AS DOUBLE) AS value FROM eval_log""")
@@ -32,9 +42,23 @@ def extract_numeric(s, sf):
     return table(s, sf, "eval_log").select("log_id", T.last_number(F.col("generation")).alias("value"))
 
 
-@C.add()
+@C.add(r"""WITH x AS (SELECT pair_id, CASE pair_id % 5 WHEN 0 THEN 'So \(\boxed{' || pair_id || '.5 kg}\). Therefore, the answer is: -7'
+ WHEN 1 THEN 'Therefore, the answer is: about ' || pair_id || '. Or \(\boxed{3}\)' WHEN 2 THEN '\boxed{3}. Therefore, the answer is: ' || pair_id
+ WHEN 3 THEN 'Therefore, the answer is: none' || chr(10) || pair_id ELSE coalesce(chosen, '') END AS t FROM repo_train),
+p AS (SELECT pair_id, instr(t, regexp_extract(t, '\\\(\\boxed\{.*?\}\\\)')) * CAST(regexp_matches(t, '\\\(\\boxed\{.*?\}\\\)') AS INT) AS a,
+ regexp_extract(t, '\\\(\\boxed\{(.*?)\}\\\)', 1) AS av, instr(t, 'Therefore, the answer is: ') AS b, regexp_extract(t, 'Therefore, the answer is: ([^.\n]+)', 1) AS bv FROM x)
+SELECT pair_id, TRY_CAST(nullif(regexp_extract(CASE WHEN a > 0 AND (b = 0 OR a < b) THEN av WHEN b > 0 THEN bv ELSE '' END, '[0-9]+(\.[0-9]+)?'), '') AS DOUBLE) AS value FROM p""")
 def extract_first_numeric(s, sf):
-    return table(s, sf, "repo_train").select("pair_id", T.first_number(F.col("chosen")).alias("value"))
+    """Both forms in either order, beside the texts themselves."""
+    k, i = F.col("pair_id") % 5, F.col("pair_id").cast("string")
+    t = (
+        F.when(k == 0, F.concat(F.lit(r"So \(\boxed{"), i, F.lit(r".5 kg}\). Therefore, the answer is: -7")))
+        .when(k == 1, F.concat(F.lit("Therefore, the answer is: about "), i, F.lit(r". Or \(\boxed{3}\)")))
+        .when(k == 2, F.concat(F.lit(r"\boxed{3}. Therefore, the answer is: "), i))
+        .when(k == 3, F.concat(F.lit("Therefore, the answer is: none\n"), i))
+        .otherwise(F.coalesce("chosen", F.lit("")))
+    )
+    return table(s, sf, "repo_train").select("pair_id", T.first_number(t).alias("value"))
 
 
 @C.add(r"""SELECT problem_index, trim(regexp_replace(answer, '\s+', '', 'g'), '''"') AS squeezed, TRY_CAST(CASE WHEN regexp_matches(trim(answer), '^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$') THEN trim(answer) END AS DOUBLE) AS number FROM math_problem""")
@@ -42,12 +66,6 @@ def answer_normalise(s, sf):
     return table(s, sf, "math_problem").select("problem_index", T.squeeze(F.col("answer")).alias("squeezed"), T.python_float(F.col("answer")).alias("number"))
 
 
-@C.add()
-def answer_plain(s, sf):
-    """LaTeX answers in their plain form: tested on fixtures."""
-    return table(s, sf, "math_problem").where("answer is not null").select("problem_index", T.plain_answer(F.col("answer")).alias("plain"))
-
-
 _NUM = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -58,12 +76,44 @@ def answer_equal(s, sf):
     return table(s, sf, "eval_log").select("log_id", T.answer_equal(a, b).alias("same"), T.math_equal(a, b).alias("math_same"))
 
 
-@C.add("""SELECT model, round(sum(CAST(extracted_last_answers = gold_answers AS INT)) / nullif(count(extracted_last_answers), 0), 6) AS of_parsed, round(sum(CASE WHEN extracted_last_answers = gold_answers THEN 1 ELSE 0 END) / nullif(count(gold_answers), 0), 6) AS of_labelled, round(avg(CASE WHEN list_contains(extracted_all_answers, gold_answers) THEN 1 ELSE 0 END), 6) AS any_match FROM eval_log GROUP BY model""")
+_EQ = """CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN abs(x - y) <= 1e-6 * greatest(abs(x), abs(y)) ELSE regexp_replace(a, '\\s+', '', 'g') = regexp_replace(b, '\\s+', '', 'g') END"""
+
+
+@C.add(f"""WITH v AS (SELECT log_id, model, gold_answers AS b, unnest(extracted_all_answers) AS a FROM eval_log),
+n AS (SELECT *, TRY_CAST(trim(a) AS DOUBLE) AS x, TRY_CAST(trim(b) AS DOUBLE) AS y FROM v),
+h AS (SELECT log_id, bool_or(coalesce({_EQ}, false)) AS eq, bool_or(coalesce({_EQ} OR abs(x - y) <= 1e-3 OR abs(x - y / 100) <= 1e-3 OR abs(x - y * 100) <= 1e-3, false)) AS math FROM n GROUP BY log_id),
+l AS (SELECT log_id, model, gold_answers AS b, extracted_last_answers AS a, TRY_CAST(trim(extracted_last_answers) AS DOUBLE) AS x, TRY_CAST(trim(gold_answers) AS DOUBLE) AS y, len(extracted_all_answers) AS k FROM eval_log)
+SELECT model, round(sum(CASE WHEN b IS NOT NULL AND a IS NOT NULL AND coalesce({_EQ}, false) THEN 1.0 ELSE 0 END) / nullif(count(*) FILTER (WHERE b IS NOT NULL AND a IS NOT NULL), 0), 6) AS v2,
+ round(sum(CASE WHEN b IS NOT NULL AND eq THEN 1.0 ELSE 0 END) / nullif(count(*) FILTER (WHERE b IS NOT NULL AND k > 0), 0), 6) AS v3,
+ round(sum(CASE WHEN b IS NOT NULL AND math THEN 1.0 ELSE 0 END) / nullif(count(b), 0), 6) AS v4
+FROM l LEFT JOIN h USING (log_id) GROUP BY model""")
 def grade_matchers(s, sf):
+    """v2: the last answer; v3: any answer, both over what could be parsed; v4: any answer, mathematics too, over all labels."""
+    e = table(s, sf, "eval_log")
+    label, last, every = F.col("gold_answers"), F.col("extracted_last_answers"), F.col("extracted_all_answers")
+    hit = lambda f: F.coalesce(F.exists(every, lambda v: f(v, label)), F.lit(False))
+    both = lambda a, b: T.answer_equal(a, b) | T.math_equal(a, b)
+    known, parsed = label.isNotNull(), label.isNotNull() & last.isNotNull()
+    share = lambda on, of: F.round(F.try_divide(F.count_if(on), F.nullif(F.count_if(of), F.lit(0))), 6)
+    return e.groupBy("model").agg(
+        share(parsed & T.answer_equal(last, label), parsed).alias("v2"),
+        share(known & hit(T.answer_equal), known & (F.size(every) > 0)).alias("v3"),
+        share(known & hit(both), known).alias("v4"),
+    )
+
+
+@C.add(f"""WITH v AS (SELECT data_id, model, extracted_last_answers AS a, gold_answers AS b, log_id FROM eval_log), c AS (SELECT data_id, model, a, count(*) AS n, min(log_id) AS f FROM v WHERE a IS NOT NULL GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY data_id, model ORDER BY n DESC, f) AS rn FROM c), g AS (SELECT data_id, model, min(b) AS b FROM v GROUP BY ALL),
+n AS (SELECT g.data_id, g.model, t.a, g.b, TRY_CAST(trim(t.a) AS DOUBLE) AS x, TRY_CAST(trim(g.b) AS DOUBLE) AS y FROM g LEFT JOIN t ON g.data_id = t.data_id AND g.model IS NOT DISTINCT FROM t.model AND rn = 1)
+SELECT data_id, model, coalesce({_EQ} OR abs(x - y) <= 1e-3 OR abs(x - y / 100) <= 1e-3 OR abs(x - y * 100) <= 1e-3, false) AS correct FROM n""")
+def grade_majority(s, sf):
+    """v5: the most frequent last answer of a model's generations for an item against its label."""
     e = table(s, sf, "eval_log")
-    hit = F.when(F.col("extracted_last_answers") == F.col("gold_answers"), 1).otherwise(0)
-    any_ = F.when(F.array_contains("extracted_all_answers", F.col("gold_answers")), 1).otherwise(0)
-    return e.groupBy("model").agg(F.round(F.try_divide(F.sum(hit), F.count("extracted_last_answers")), 6).alias("of_parsed"), F.round(F.try_divide(F.sum(hit), F.count("gold_answers")), 6).alias("of_labelled"), F.round(F.avg(any_), 6).alias("any_match"))
+    votes = e.where("extracted_last_answers is not null").groupBy("data_id", "model", F.col("extracted_last_answers").alias("a")).agg(F.count("*").alias("n"), F.min("log_id").alias("f"))
+    best = votes.groupBy("data_id", "model").agg(F.max_by("a", F.struct("n", -F.col("f"))).alias("a"))
+    labels = e.groupBy("data_id", "model").agg(F.min("gold_answers").alias("b"))
+    joined = labels.alias("l").join(best.alias("r"), F.expr("l.data_id = r.data_id and l.model <=> r.model"), "left").select("l.data_id", "l.model", "a", "b")
+    return joined.select("data_id", "model", (T.answer_equal(F.col("a"), F.col("b")) | T.math_equal(F.col("a"), F.col("b"))).alias("correct"))
 
 
 @C.add("""SELECT event_id, CASE WHEN value % 5 < 1 THEN NULL ELSE CAST(round_even(least(5, greatest(1, value % 7)), 0) AS INT) END AS rating FROM events""")

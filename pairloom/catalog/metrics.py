@@ -28,11 +28,7 @@ def benchmark_rollup(s, sf):
     return g.select("benchmark", "total", "valid", "correct", acc.alias("accuracy"), F.floor(acc * F.col("total")).alias("correct_by_share"))
 
 
-#: The benchmarks that the oracle of results_pivot names; the query has a column for each one of the table.
-_PIVOT = "polyset quarry_mini tarn24".split()
-
-
-@C.add("""SELECT e.model, """ + ", ".join(f"round(avg(CAST(e.is_correct AS INT)) FILTER (WHERE b.benchmark = '{x}'), 6) AS {x}" for x in _PIVOT) + """ FROM eval_log e JOIN benchmark_item b ON e.data_id = b.item_id GROUP BY e.model""")
+@C.add("""SELECT * FROM (PIVOT (SELECT e.model, b.benchmark, CAST(e.is_correct AS INT) AS ok FROM eval_log e JOIN benchmark_item b ON e.data_id = b.item_id) ON benchmark USING round(avg(ok), 6) GROUP BY model)""")
 def results_pivot(s, sf):
     e, b = table(s, sf, "eval_log"), table(s, sf, "benchmark_item").select(F.col("item_id").alias("data_id"), "benchmark")
     # every benchmark of the table, a small one that doesn't grow, is a column

@@ -77,42 +77,45 @@ def log_sigmoid(x: Column) -> Column:
     return F.least(x, F.lit(0.0)) - F.log1p(F.exp(-F.abs(x)))
 
 
+def suffix_sums(x: np.ndarray, decay: float) -> np.ndarray:
+    """S_t = x_t + decay S_(t+1), in blocks within which the powers of decay stay well above underflow."""
+    x = np.asarray(x, np.float64)
+    if not len(x) or decay == 0:
+        return x
+    if decay == 1:
+        return np.cumsum(x[::-1])[::-1]
+    block = max(1, min(len(x), int(-60 / np.log(decay)) if decay < 1 else 64))
+    powers = decay ** np.arange(block)
+    out, carry = np.empty(len(x)), 0.0
+    for start in range((len(x) - 1) // block * block, -1, -block):
+        part = x[start : start + block]
+        own = np.cumsum((part * powers[: len(part)])[::-1])[::-1] / powers[: len(part)]
+        own += carry * decay ** np.arange(len(part), 0, -1)
+        out[start : start + block], carry = own, own[0]
+    return out
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def discounted_returns(rewards: pd.Series, gamma: pd.Series) -> pd.Series:
-    """R_t = r_t + gamma R_(t+1); linear in the length, which an array accumulator isn't."""
-    out = []
-    for r, g in zip(rewards, gamma):
-        if r is None:
-            out.append(None)
-            continue
-        acc, got = 0.0, np.zeros(len(r))
-        for t in range(len(r) - 1, -1, -1):
-            acc = r[t] + g * acc
-            got[t] = acc
-        out.append(got)
-    return pd.Series(out)
+    """R_t = r_t + gamma R_(t+1), by scaled cumulative sums."""
+    return pd.Series([None if r is None else suffix_sums(r, g) for r, g in zip(rewards, gamma)])
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def gae(rewards: pd.Series, values: pd.Series, gamma: pd.Series, lam: pd.Series) -> pd.Series:
-    """A_t = r_t + gamma V_(t+1) - V_t + gamma lambda A_(t+1); V after the end is 0."""
+    """A_t = delta_t + gamma lambda A_(t+1) with delta_t = r_t + gamma V_(t+1) - V_t; V after the end is 0."""
     out = []
     for r, v, g, l in zip(rewards, values, gamma, lam):
         if r is None or v is None:
             out.append(None)
             continue
-        acc, nxt, got = 0.0, 0.0, np.zeros(len(r))
-        for t in range(len(r) - 1, -1, -1):
-            acc = r[t] + g * nxt - v[t] + g * l * acc
-            nxt = v[t]
-            got[t] = acc
-        out.append(got)
+        out.append(suffix_sums(np.asarray(r, np.float64) + g * np.append(v[1:], 0.0) - v, g * l))
     return pd.Series(out)
 
 
 def pad(x: Column | str, length: Column, value, left: bool = False) -> Column:
     """x filled up to length; longer arrays stay."""
-    fill = F.array_repeat(F.lit(value), F.greatest(length - F.size(_c(x)), F.lit(0)))
+    fill = F.array_repeat(F.lit(value), F.greatest(length - F.size(_c(x)), F.lit(0)).cast("int"))
     return F.concat(fill, _c(x)) if left else F.concat(_c(x), fill)
 
 
@@ -135,3 +138,25 @@ def prefix_variants(tokens: Column | str, step: int = 16, most: int = 4) -> Colu
     """array<struct<mask, cut>>: lengths left when mask * step tokens are taken off the end, each at least 1."""
     cuts = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda m: F.struct(m.alias("mask"), (F.size(_c(tokens)) - step * m).alias("cut")))
     return F.filter(cuts, lambda v: v["cut"] > 0)
+
+
+def masked(x: Column | str, mask: Column | str) -> Column:
+    """The entries where mask is true."""
+    return F.filter(_c(x), lambda item, at: F.get(_c(mask), at))
+
+
+def running_sum(x: Column) -> Column:
+    """Sums of all entries up to each. For arrays of some hundred entries (turns, steps): the work grows with the square."""
+    grow = lambda acc, item: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint")) + item))
+    return F.aggregate(x, F.array().cast("array<bigint>"), grow)
+
+
+def unpack(x: Column, lens: Column) -> Column:
+    """x cut into pieces of the given lengths."""
+    ends = running_sum(lens)
+    return F.transform(lens, lambda n, i: F.slice(x, (F.get(ends, i) - n + 1).cast("int"), n))
+
+
+def log_softmax(x: Column | str) -> Column:
+    lse = logsumexp(x)
+    return F.transform(_c(x), lambda item: item - lse)

@@ -19,7 +19,7 @@ def strip_all(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")
 
 
-BOXED = r"\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"
+BOXED = r"\\boxed\s*\{((?:[^{}]|\{[^{}]*\})+)\}"
 
 
 def _trigger(trigger: str) -> str:
@@ -35,17 +35,20 @@ def answers_after(text: Column, trigger: str = "The answer is:") -> Column:
 
 
 def boxed(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(BOXED), F.lit(1)), lambda found: strip_all(_unwrap(strip_all(found))))
+    """What stands in each box, with one level of braces inside; an outer pair of braces comes off."""
+    return F.transform(F.regexp_extract_all(text, F.lit("(?U)" + BOXED), F.lit(1)), lambda found: strip_all(_unwrap(strip_all(found))))
 
 
 def last_answer(text: Column, trigger: str = "The answer is:") -> Column:
-    """The last answer after the trigger, up to a point or line end; else the last boxed one; else null."""
-    return F.coalesce(F.try_element_at(answers_after(text, trigger), F.lit(-1)), F.try_element_at(boxed(text), F.lit(-1)))
+    """The last answer after the trigger, up to a point or line end; if there is none or it is blank, the last boxed one."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(_trigger(trigger)), F.lit(1)), strip_all)
+    return F.coalesce(F.nullif(F.try_element_at(found, F.lit(-1)), F.lit("")), F.try_element_at(boxed(text), F.lit(-1)))
 
 
 def all_answers(text: Column, trigger: str = "The answer is:", with_boxed: bool = True) -> Column:
     """Distinct answers in order, those after the trigger first; null if there is none."""
-    found = F.array_distinct(F.concat(answers_after(text, trigger), boxed(text)) if with_boxed else answers_after(text, trigger))
+    filled = F.filter(boxed(text), lambda found: found != "")
+    found = F.array_distinct(F.concat(answers_after(text, trigger), filled) if with_boxed else answers_after(text, trigger))
     return F.when(F.size(found) > 0, found)
 
 
@@ -56,12 +59,14 @@ def last_number(text: Column, trigger: str = "The answer is:") -> Column:
 
 
 def first_number(text: Column) -> Column:
-    """The first number of the earlier of a boxed answer and one after 'Therefore, the answer is:'."""
-    a, b = BOXED, r"Therefore, the answer is:\s*([^\n]+)"
-    at = lambda p: F.when(F.regexp_instr(text, F.lit(p)) > 0, F.regexp_instr(text, F.lit(p)))
-    got = lambda p: F.regexp_extract(text, p, 1)
-    chosen = F.when(at(a).isNotNull() & (at(b).isNull() | (at(a) <= at(b))), got(a)).when(at(b).isNotNull(), got(b))
-    return F.nullif(F.regexp_extract(chosen, r"[-+]?\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
+    """The first number, without a sign, of the earlier of a box in \\( \\) and a text after 'Therefore, the answer is: '.
+
+    The text ends at a point or line end. Null where neither stands, or the earlier one has no number.
+    """
+    forms = (python_pattern(r"\\\(\\boxed\{(.*?)\}\\\)"), python_pattern(r"Therefore, the answer is: ([^\.\n]+)"))
+    found = F.array(*[F.struct(F.nullif(F.regexp_instr(text, F.lit(p)), F.lit(0)).alias("at"), F.regexp_extract(text, p, 1).alias("answer")) for p in forms])
+    first = F.array_min(F.filter(found, lambda x: x["at"].isNotNull()))
+    return F.nullif(F.regexp_extract(first["answer"], r"\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
 
 
 def squeeze(x: Column) -> Column:
@@ -99,24 +104,6 @@ def math_equal(prediction: Column, reference: Column, tolerance: float = 1e-3) -
     return F.coalesce((F.lower(strip_all(prediction)) == F.lower(strip_all(reference))) | near(r) | near(r / 100) | near(r * 100), F.lower(strip_all(prediction)) == F.lower(strip_all(reference)), F.lit(False))
 
 
-#: Rewrites of a LaTeX answer in their order: literal, replacement.
-_LITERAL = (("\\!", ""), ("\\ ", ""), ("dfrac", "frac"), ("tfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""), ("$", ""), ("\\%", ""), ("%", ""), (" .", " 0."), ("{.", "{0."))
-
-
-def plain_answer(x: Column) -> Column:
-    """A LaTeX answer in a plain form: no units, degrees, dollars or percent signs, no trailing zeros, braced fractions."""
-    t = F.regexp_replace(strip_all(x), r"\.+$", "")
-    for a, b in _LITERAL:
-        t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(t, r"\\text\{[^{}]*\}$", "")
-    t = F.regexp_replace(t, r"^\.", "0.")
-    t = F.regexp_replace(t, r"(\d+)\.0+(?!\d)", "$1")
-    t = F.regexp_replace(t, r"\\sqrt(\w)", r"\\sqrt{$1}")
-    t = F.regexp_replace(t, r"\\frac(\d)(\d)", r"\\frac{$1}{$2}")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", ""), r"^(-?\d+)/(-?\d+)$", r"\\frac{$1}{$2}")
-    return t
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def balanced_boxed(text: pd.Series) -> pd.Series:
     """All boxed answers with braces balanced to any depth, which no regular expression reaches."""
@@ -184,7 +171,8 @@ def rating_of(block: Column) -> Column:
 
 def ratings(text: Column) -> Column:
     """A rating for each block that opens with '#### Output for Text n'."""
-    blocks = F.slice(F.split(text, r"#### Output for Text \d+"), 2, 1000)
+    parts = F.split(text, r"#### Output for Text \d+")
+    blocks = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     return F.transform(blocks, rating_of)
 
 

@@ -12,9 +12,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 ModelFn = Callable[[pd.DataFrame], "pd.Series"]
 #: A batch of prompts to one text each.
 JudgeFn = Callable[["pd.Series"], "pd.Series"]
+#: A text to its tokens.
 TokenizerFn = Callable[[str], "list[str]"]
 
 
+def tokenizer(f: TokenizerFn) -> Callable[[Column], Column]:
+    """f as a column function, in Arrow batches; null in, null out."""
+
+    def of(text: Column) -> Column:
+        @F.pandas_udf("array<string>")
+        def split(t: pd.Series) -> pd.Series:
+            return t.map(lambda x: None if x is None else list(f(x)))
+
+        return split(text)
+
+    return of
+
+
+def _blanks(text: str) -> list[str]:
+    return text.split(" ")
+
+
+#: The plain tokenizer of tests and examples.
+split_by_blanks = tokenizer(_blanks)
+
+
 class Retry(Exception):
     """A call that may be tried again."""
 

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from pairloom.functions import arrays as A, text as T
+from pairloom.functions import answers as N, arrays as A, equality as E, symbolic, text as T
 from pairloom.operators import order, preference as P
 from pairloom.plans.registry import Transforms
 
@@ -44,9 +44,9 @@ def test_math_equal(spark):
     assert all(r["y"] == r["want"] for r in d.select(T.math_equal(F.col("a"), F.col("b")).alias("y"), "want").collect())
 
 
-@pytest.mark.parametrize("raw,plain", [("\\frac12", "\\frac{1}{2}"), ("3/4", "\\frac{3}{4}"), ("$2224$", "2224"), ("1152.0", "1152"), (".5", "0.5"), ("50\\%", "50"), ("90^\\circ", "90"), ("\\sqrt3", "\\sqrt{3}"), (None, None)])
+@pytest.mark.parametrize("raw,plain", [("\\frac12", "\\frac{1}{2}"), ("3/4", "\\frac{3}{4}"), ("$2224$", "2224"), ("1152.0", "1152"), (".5", "0.5"), ("50\\%", "50%"), ("90^\\circ", "90"), ("\\sqrt3", "\\sqrt{3}"), (None, None)])
 def test_plain_answer(spark, raw, plain):
-    assert one(spark, raw, T.plain_answer) == plain
+    assert one(spark, raw, N.plain_answer) == plain
 
 
 def test_balanced_boxed(spark):
