@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, extras, grading, io, layout, metrics, pairs, tensors, tokens
+from . import answers, extras, grading, io, layout, metrics, pairs, records, tensors, tokens
 
-_PARTS = (pairs, metrics, grading, answers, layout, tokens, tensors, extras, io)
+_PARTS = (pairs, metrics, grading, answers, layout, tokens, tensors, records, extras, io)
 
 
 def queries() -> dict:

@@ -151,7 +151,10 @@ def eos_truncation(s, sf):
     return d.select("vec_id", F.array_join(A.truncate_eos("ids", 4, F.lit(99)), ",").alias("cut"), (F.ceil(F.size("ids") / 4) * 4 - F.size("ids")).cast("int").alias("ring_pad"))
 
 
-@C.add()
+_SIDE = "len(regexp_replace(coalesce({0}, ''), '[^aeiou]', '', 'g')) / CAST(greatest(len(coalesce({0}, '')), 1) AS DOUBLE) + len(coalesce({0}_model, '')) / 100.0"
+
+
+@C.add(f"SELECT pair_id, 1 AS label, round({_SIDE.format('chosen')}, 6) AS score FROM repo_train UNION ALL SELECT pair_id, 0, round({_SIDE.format('rejected')}, 6) FROM repo_train")
 def score_once(s, sf):
     """Chosen and rejected in one pass: each distinct call of the stub scorer is made once."""
     t = table(s, sf, "repo_train")
@@ -161,7 +164,8 @@ def score_once(s, sf):
     return got.select("pair_id", "label", F.round("score", 6).alias("score"))
 
 
-@C.add()
+@C.add("""WITH x AS (SELECT log_id, extracted_last_answers AS a, gold_answers AS b, TRY_CAST(trim(extracted_last_answers) AS DOUBLE) AS x, TRY_CAST(trim(gold_answers) AS DOUBLE) AS y FROM eval_log)
+SELECT log_id, coalesce(CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN abs(x - y) <= 1e-6 * greatest(abs(x), abs(y)) ELSE regexp_replace(a, '\\s+', '', 'g') = regexp_replace(b, '\\s+', '', 'g') END, false) AS correct FROM x""")
 def guarded_grading(s, sf):
     """Equal texts and numbers are settled by columns; only the rest reaches the costly step, here a stub that says no."""
     a, b = F.col("extracted_last_answers"), F.col("gold_answers")

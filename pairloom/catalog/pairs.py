@@ -14,6 +14,7 @@ C = Catalog()
 transforms = Transforms()
 transforms.register("rs", P.best_of_n)
 transforms.register("iter_dpo", P.best_and_worst)
+transforms.register("csft", P.conditional)
 
 
 def scored(s: SparkSession, sf: str) -> DataFrame:
@@ -40,12 +41,10 @@ def reward_zscore(s, sf):
     return P.zscore(scored(s, sf), "reward", "z").select("output", F.round("z", 6).alias("z"))
 
 
-@C.add(f"SELECT output, 'User ' || prompt || ' <rm_score>: ' || CAST(CAST(reward AS DECIMAL(12,2)) AS VARCHAR) || ' ' AS text FROM ({_SCORED})")
+@C.add(f"SELECT output, 'User ' || prompt || ' <rm_score>: ' || printf('%.2f', reward) || ' ' AS text FROM ({_SCORED})")
 def csft_prompt(s, sf):
-    template = "<rm_score>: {reward} "
-    d = scored(s, sf)
-    suffix = F.concat(F.trim(F.replace(F.lit(template), F.lit("{reward}"), F.col("reward").cast("decimal(12,2)").cast("string"))), F.lit(" "))
-    return d.select("output", F.concat(F.lit("User "), F.col("prompt"), F.lit(" "), suffix).alias("text"))
+    d = scored(s, sf).withColumn("prompt", F.concat(F.lit("User "), "prompt"))
+    return transforms.apply("csft", d, text="prompt", reward="reward").select("output", "text")
 
 
 _ROLL = "SELECT data_id, batch_no, model, arrived_at, query_text, unnest(responses) AS r, generate_subscripts(responses, 1) AS pos FROM rollout_batch"
@@ -78,16 +77,19 @@ def mixed_outcome_filter(s, sf):
     return r.groupBy("data_id").agg(F.avg(F.col("ok").cast("double")).alias("acc"), F.count("*").alias("n")).where("acc > 0 and acc < 1").select("data_id", F.round("acc", 6).alias("acc"), "n")
 
 
-NEEDED = ["larch-8b", "quill-1.5b"]
-
-
-@C.add("""WITH l AS (SELECT prompt_id, model, response, row_number() OVER (PARTITION BY prompt_id, model ORDER BY generated_at DESC, response DESC NULLS LAST) AS rn FROM generation WHERE model IN ('larch-8b', 'quill-1.5b')),
-k AS (SELECT * FROM l WHERE rn = 1), c AS (SELECT prompt_id FROM k GROUP BY prompt_id HAVING count(*) = 2)
-SELECT prompt_id, model, md5(response) AS response FROM k WHERE prompt_id IN (SELECT prompt_id FROM c)""")
+@C.add("""WITH w AS (SELECT model FROM generation WHERE model IS NOT NULL GROUP BY model ORDER BY count(*) DESC, model LIMIT 2),
+l AS (SELECT prompt_id, model, prompt, response, generated_at, row_number() OVER (PARTITION BY prompt_id, model ORDER BY generated_at DESC, response DESC NULLS LAST) AS rn FROM generation WHERE model IN (SELECT model FROM w)),
+k AS (SELECT * FROM l WHERE rn = 1), c AS (SELECT prompt_id FROM k GROUP BY prompt_id HAVING count(*) = 2), f AS (SELECT prompt_id, arg_min(prompt, struct_pack(a := generated_at, b := prompt)) AS prompt FROM l GROUP BY prompt_id)
+SELECT prompt_id, model, md5(response) AS response, md5(f.prompt) AS prompt FROM k JOIN f USING (prompt_id) WHERE prompt_id IN (SELECT prompt_id FROM c)""")
 def merge_models(s, sf):
-    g = table(s, sf, "generation").select("prompt_id", "model", "response", "generated_at")
-    last = P.last_by_model(P.complete(g, "prompt_id", "model", NEEDED), "prompt_id", "model", ["generated_at", "response"])
-    return last.select("prompt_id", "model", F.md5("response").alias("response"))
+    """The last responses of the two models with most of them, of prompts that both answered, and the prompt's first text."""
+    g = table(s, sf, "generation").where("model is not null").select("prompt_id", "model", "prompt", "response", "generated_at")
+    # the list of models is a configuration, here read off the table: two names reach the driver
+    needed = [r[0] for r in g.groupBy("model").count().orderBy(F.desc("count"), "model").limit(2).collect()]
+    own = P.complete(g, "prompt_id", "model", needed)
+    last = P.last_by_model(own.drop("prompt"), "prompt_id", "model", ["generated_at", "response"])
+    first = own.groupBy("prompt_id").agg(F.min_by("prompt", F.struct("generated_at", "prompt")).alias("prompt"))
+    return last.join(first, "prompt_id").select("prompt_id", "model", F.md5("response").alias("response"), F.md5("prompt").alias("prompt"))
 
 
 @C.add("""WITH l AS (SELECT prompt_id, model, length(response) AS n, row_number() OVER (PARTITION BY prompt_id, model ORDER BY generated_at DESC, response DESC NULLS LAST) AS rn FROM generation)
@@ -142,14 +144,6 @@ def chosen_only_pairs(s, sf):
     return P.strict_pairs(scored(s, sf).where("model = 'purchase'"), ["prompt"], "output", "reward", "ord", 6)
 
 
-@C.add(f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY reward DESC, ord) AS rn FROM ({_SCORED}) WHERE model = 'purchase')
-SELECT a.prompt, a.output AS chosen, b.output AS rejected FROM t a JOIN t b ON a.prompt = b.prompt AND a.rn <= 6 AND b.rn <= 6 AND a.reward > b.reward""", name="topk6_pairs")
-def _topk6(s, sf):
-    top = P.top_k(scored(s, sf).where("model = 'purchase'"), ["prompt"], "reward", "ord", 6)
-    b = top.select("prompt", F.col("output").alias("rejected"), F.col("reward").alias("lower"))
-    return top.select("prompt", F.col("output").alias("chosen"), "reward").join(b, "prompt").where("reward > lower").select("prompt", "chosen", "rejected")
-
-
 @C.add("SELECT problem_index, md5(question) AS question FROM math_problem WHERE problem_index NOT IN (SELECT data_id FROM rollout_batch WHERE data_id IS NOT NULL)")
 def exclude_done(s, sf):
     done = table(s, sf, "rollout_batch").select("data_id").distinct()
@@ -271,17 +265,11 @@ def set_operations(s, sf):
 
 @C.add()
 def blend_weighted(s, sf):
-    """Sources interleaved by weight: a source's k-th row stands at k / weight, until the first source is exhausted."""
-    weights = {"hub_rollouts_a": 0.5, "judge_log": 0.3, "forum_import": 0.2}
-    d = table(s, sf, "documents").where(F.col("source").isin(*weights)).select("doc_id", "source").withColumn("h", F.pmod(F.xxhash64(F.lit(42), "doc_id"), F.lit(1 << 40)))
-    w = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("source"))
-    b = F.floor(F.col("h") / (1 << 34))
-    counts = d.groupBy("source", b.alias("b")).agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    k = d.withColumn("b", b).withColumn("k", F.row_number().over(Window.partitionBy("source", "b").orderBy("h", "doc_id"))).join(before.select("source", "b", "before"), ["source", "b"])
-    placed = k.withColumn("place", (F.col("k") + F.col("before")) / w)
-    end = placed.groupBy("source").agg(F.max("place").alias("m")).agg(F.min("m").alias("stop"))
-    return placed.crossJoin(F.broadcast(end)).where("place <= stop").select("doc_id", "source", F.round("place", 6).alias("place"))
+    """All sources interleaved by weight until the first is exhausted; blend_counts holds what must be true of it."""
+    d = table(s, sf, "documents").where("source is not null").select("doc_id", "source")
+    placed = order.interleaved(d, "source", F.length("source") % 4 + 1, "doc_id")
+    stop = placed.groupBy("source").agg(F.max("place").alias("m")).agg(F.min("m").alias("stop"))  # one row
+    return placed.crossJoin(F.broadcast(stop)).where("place <= stop").select("doc_id", "source", F.round("place", 6).alias("place"))
 
 
 @C.add(f"SELECT prompt, output FROM (SELECT prompt, output, row_number() OVER (PARTITION BY prompt ORDER BY ord DESC) AS rn FROM ({_SCORED})) WHERE rn <= 16")

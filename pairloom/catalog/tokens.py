@@ -47,9 +47,17 @@ def regret_det(s, sf):
     return _logprobs(s, sf).select("pair_id", F.round(A.regret("p", F.transform("p", lambda item: -item)), 6).alias("score"))
 
 
-@C.add()
+_REST = "greatest(1 - list_sum(list_transform({0}[t], lambda v: exp(v))), 1e-9)"
+_KL = f"""list_sum(list_transform(range(1, len(a[t]) + 1), lambda i: exp(a[t][i]) * (ln(exp(a[t][i]) + 1e-9) - ln(exp(b[t][i]) + 1e-9))))
+ + {_REST.format('a')} * (ln({_REST.format('a')} / (32000 - len(a[t]))) - ln({_REST.format('b')} / (32000 - len(a[t]))))"""
+
+
+@C.add(f"""WITH x AS (SELECT pair_id, chosen_logprob_with_token.logprobs AS p, chosen_top_k_data.top_k_logprobs AS a, rejected_top_k_data.top_k_logprobs AS b FROM repo_train),
+n AS (SELECT *, least(len(p), len(a), len(b)) AS n FROM x WHERE len(p) > 0 AND len(a) > 0 AND len(b) > 0), u AS (SELECT pair_id, p, a, b, unnest(range(1, n + 1)) AS t FROM n),
+g AS (SELECT pair_id, p[t] AS p, avg({_KL}) OVER (PARTITION BY pair_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS gap FROM u)
+SELECT pair_id, round(avg(p - gap), 6) AS score FROM g GROUP BY pair_id""")
 def regret_topk(s, sf):
-    """The gap at each position is the divergence of the rejected from the chosen top-k distribution; held to plain Python in the tests."""
+    """The gap at each position is the divergence of the rejected from the chosen top-k distribution."""
     t = table(s, sf, "repo_train").select("pair_id", F.col("chosen_logprob_with_token.logprobs").alias("p"), F.col("chosen_top_k_data.top_k_logprobs").alias("a"), F.col("rejected_top_k_data.top_k_logprobs").alias("b"))
     t = t.where("size(p) > 0 and size(a) > 0 and size(b) > 0").withColumn("n", F.least(F.size("p"), F.size("a"), F.size("b")))
     cut = t.select("pair_id", *[F.slice(c, F.lit(1), F.col("n")).alias(c) for c in "pab"])

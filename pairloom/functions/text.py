@@ -204,3 +204,13 @@ def step_pieces(text: Column, separator: str = "\n") -> Column:
     """Steps, each but the last keeping its separator."""
     parts = F.split(text, re.escape(separator))
     return F.transform(parts, lambda part, at: F.when(at < F.size(parts) - 1, F.concat(part, F.lit(separator))).otherwise(part))
+
+
+@F.pandas_udf(StringType())
+def fixed_text(x: pd.Series, places: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) else f"{v:.{p}f}" for v, p in zip(x, places)], dtype=object)
+
+
+def fixed(x: Column, places: int) -> Column:
+    """A number with so many places, rounded as its binary value lies; JVM formatting rounds the decimal form instead."""
+    return fixed_text(x, F.lit(places))

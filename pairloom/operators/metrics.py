@@ -15,8 +15,9 @@ def pass_at_k(df: DataFrame, source: str, prompt: str, correct: str) -> DataFram
 def majority(df: DataFrame, key: str, answer: str, ord_: str) -> DataFrame:
     """key, answer, votes: the most frequent answer, of equals the one seen first. Nulls don't vote."""
     v = df.where(F.col(answer).isNotNull()).groupBy(key, F.col(answer).alias("answer")).agg(F.count("*").alias("votes"), F.min(ord_).alias("first"))
-    best = F.max_by(F.struct("answer", "votes"), F.struct("votes", -F.col("first")))
-    return v.groupBy(key).agg(best.alias("b")).select(key, "b.answer", "b.votes")
+    # the group limit of Spark keeps one answer a key on either side of the shuffle
+    rn = F.row_number().over(Window.partitionBy(key).orderBy(F.col("votes").desc(), "first"))
+    return v.withColumn("__rn", rn).where("__rn = 1").select(key, "answer", "votes")
 
 
 def pair_accuracy(df: DataFrame, chosen: str, rejected: str, batch: str) -> DataFrame:

@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+#: Buckets under one group: sums over all earlier buckets are taken in groups, then over the groups.
+GROUP = 1000
+
+
 def _offsets(counts: DataFrame, n: str) -> DataFrame:
-    """bucket, before: sums over all earlier buckets. One row a bucket, so one task suffices."""
-    w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum(n).over(w), F.lit(0)))
+    """bucket, before: sums over all earlier buckets, in two levels, so that a task holds GROUP buckets or the groups."""
+    w = lambda *by: Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("group", F.floor(F.col("bucket").cast("bigint") / GROUP)) if not dict(counts.dtypes)["bucket"].startswith("timestamp") else counts.withColumn("group", F.date_trunc("year", "bucket"))
+    groups = ranked.groupBy("group").agg(F.sum(n).alias("n"))
+    g = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    above = groups.select("group", F.coalesce(F.sum("n").over(g), F.lit(0)).alias("above"))
+    inner = ranked.withColumn("before", F.coalesce(F.sum(n).over(w("group")), F.lit(0)))
+    return inner.join(above, "group").withColumn("before", F.col("before") + F.col("above")).drop("group", "above")
 
 
 def ordinal(df: DataFrame, key: str, order: list[str] | None = None, width: int = 100_000, name: str = "ord") -> DataFrame:
@@ -23,6 +32,15 @@ def ordinal(df: DataFrame, key: str, order: list[str] | None = None, width: int
     return b.withColumn("inner", inner).join(before, "bucket").withColumn(name, (F.col("inner") + F.col("before")).cast("bigint")).drop("bucket", "inner", "before")
 
 
+def interleaved(df: DataFrame, source: str, weight: Column, key: str, seed: int = 42, buckets: int = 64) -> DataFrame:
+    """df with w, place: a source's k-th row in a seeded order stands at k / weight. Sources are ranked in hash buckets."""
+    d = df.withColumns({"h": F.xxhash64(F.lit(seed), key), "w": weight}).withColumn("b", F.pmod("h", F.lit(buckets)))
+    counts = d.groupBy(source, "b").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(source).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    k = d.withColumn("k", F.row_number().over(Window.partitionBy(source, "b").orderBy("h", key))).join(before.select(source, "b", "before"), [source, "b"])
+    return k.withColumn("place", (F.col("k") + F.col("before")) / F.col("w")).drop("h", "b", "k", "before")
+
+
 def running_total(df: DataFrame, bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
     """df with name, the sum of value over all rows up to this one in order; bucket is a coarsening of the order."""
     b = df.withColumn("bucket", bucket)
@@ -62,6 +80,6 @@ def sampler(df: DataFrame, ord_: str, replicas: int, drop_last: bool = False) ->
         dealt = d.where(o < each * replicas).withColumn("__p", o)
     else:
         total = F.ceil(n / replicas) * replicas
-        extra = F.when(o < (total - n) % n, F.sequence(F.lit(0), F.floor((total - 1 - o) / n))).otherwise(F.sequence(F.lit(0), F.floor((total - 1 - o) / n)))
-        dealt = d.withColumn("__k", F.explode(extra)).withColumn("__p", o + F.col("__k") * n)
+        turns = F.sequence(F.lit(0), F.floor((total - 1 - o) / n))
+        dealt = d.withColumn("__k", F.explode(turns)).withColumn("__p", o + F.col("__k") * n)
     return dealt.withColumn("replica", (F.col("__p") % replicas).cast("int")).withColumn("step", F.floor(F.col("__p") / replicas)).drop("__n", "__p", "__k")

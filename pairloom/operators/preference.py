@@ -5,17 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def _extreme(df: DataFrame, prompt: str, output: str, reward: str, ord_: str, least: bool) -> DataFrame:
+    """prompt, output, reward of each prompt's highest (or lowest) reward, the first of equals.
+
+    Spark cuts every group to its first row before and after the shuffle (window group limit), so a hot prompt sends
+    one row a task and nothing is sorted by struct.
+    """
+    by = F.col(reward).asc_nulls_last() if least else F.col(reward).desc_nulls_last()
+    rn = F.row_number().over(Window.partitionBy(prompt).orderBy(by, F.col(ord_)))
+    return df.withColumn("__rn", rn).where("__rn = 1").select(prompt, output, reward)
+
+
 def best_of_n(df: DataFrame, prompt: str, output: str, reward: str, ord_: str) -> DataFrame:
-    """The output of the highest reward of each prompt; the first of equals. One aggregation, partial on the map side."""
-    best = F.max_by(F.struct(output, reward), F.struct(F.col(reward), -F.col(ord_))).alias("b")
-    return df.groupBy(prompt).agg(best).select(prompt, f"b.{output}", f"b.{reward}")
+    """The output of the highest reward of each prompt; the first of equals."""
+    return _extreme(df, prompt, output, reward, ord_, False)
 
 
 def best_and_worst(df: DataFrame, prompt: str, output: str, reward: str, ord_: str) -> DataFrame:
     """chosen and rejected with their rewards: first argmax and first argmin; a lone output is both."""
-    hi = F.max_by(F.struct(output, reward), F.struct(F.col(reward), -F.col(ord_))).alias("hi")
-    lo = F.min_by(F.struct(output, reward), F.struct(F.col(reward), F.col(ord_))).alias("lo")
-    return df.groupBy(prompt).agg(hi, lo).select(prompt, F.col(f"hi.{output}").alias("chosen"), F.col(f"hi.{reward}").alias("chosen_reward"), F.col(f"lo.{output}").alias("rejected"), F.col(f"lo.{reward}").alias("rejected_reward"))
+    hi = _extreme(df, prompt, output, reward, ord_, False).toDF(prompt, "chosen", "chosen_reward")
+    lo = _extreme(df, prompt, output, reward, ord_, True).toDF(prompt, "rejected", "rejected_reward")
+    return hi.join(lo, prompt)
+
+
+def conditional(df: DataFrame, text: str, reward: str, name: str = "text", template: str = "<rm_score>: {reward} ", places: int = 2) -> DataFrame:
+    """df with name: text, then the reward in a template, stripped and followed by a blank."""
+    from ..functions.text import fixed, strip_all
+
+    suffix = strip_all(F.replace(F.lit(template), F.lit("{reward}"), fixed(F.col(reward), places)))
+    return df.withColumn(name, F.concat(F.col(text), F.lit(" "), suffix, F.lit(" ")))
 
 
 def zscore(df: DataFrame, value: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable, Iterator
 
@@ -38,20 +39,28 @@ split_by_blanks = tokenizer(_blanks)
 
 
 class Retry(Exception):
-    """A call that may be tried again."""
+    """A call that may be tried again; wait: seconds that the service asks for, else the waits double."""
 
+    def __init__(self, message: str = "", wait: float | None = None):
+        super().__init__(message)
+        self.wait = wait
 
-def with_retries(f: Callable, tries: int = 5, wait: float = 1.0, pause: Callable[[float], None] = time.sleep) -> Callable:
-    """f tried again on Retry with doubled waits; any other error ends it at once."""
+
+def with_retries(f: Callable, tries: int = 5, wait: float = 1.0, jitter: float = 0.0, pause: Callable[[float], None] = time.sleep) -> Callable:
+    """f tried again on Retry, with doubled waits of up to jitter more of themselves; any other error ends it at once.
+
+    A rate limit is a Retry with a wait of its own, an error of the service one without; a refused key or a bad request
+    is any other error.
+    """
 
     def call(*args):
         for k in range(tries):
             try:
                 return f(*args)
-            except Retry:
+            except Retry as e:
                 if k + 1 == tries:
                     raise
-                pause(wait * 2**k)
+                pause(e.wait if e.wait is not None else wait * 2**k * (1 + jitter * random.random()))
 
     return call
 
@@ -71,7 +80,8 @@ def score_once(df: DataFrame, model: str, prompt: str, response: str, f: ModelFn
 
     The call table has only a hash of prompt and response beside the texts, so the join back moves no text.
     """
-    key = F.xxhash64(model, prompt, response)
+    # a null is no empty text, and a hash of 128 bits stands for the call
+    key = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in (model, prompt, response)]))
     keyed = df.withColumn("__call", key)
     calls = keyed.groupBy("__call").agg(F.first(model).alias("model"), F.first(prompt).alias("prompt"), F.first(response).alias("response")).repartition("model", "__call").sortWithinPartitions("model")
 
@@ -79,7 +89,7 @@ def score_once(df: DataFrame, model: str, prompt: str, response: str, f: ModelFn
         for pdf in batches:
             yield pd.DataFrame({"__call": pdf["__call"], name: f(pdf).astype("float64")})
 
-    return keyed.join(calls.mapInPandas(run, f"__call bigint, {name} double"), "__call", "left").drop("__call")
+    return keyed.join(calls.mapInPandas(run, f"__call string, {name} double"), "__call", "left").drop("__call")
 
 
 def judged_by(df: DataFrame, prompt: str, f: JudgeFn, name: str = "judgement") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -70,3 +70,28 @@ def fifo(spark: SparkSession, path: str, key: str, order: str, limit: int, folde
     q.awaitTermination()
     last = spark.read.parquet(f"{folder}/out").groupBy("k").agg(F.max_by("xs", "batch").alias("xs"))
     return last.select(F.col("k").alias(key), F.explode("xs").alias(order))
+
+
+def step_metrics(spark: SparkSession, path: str, step: Column, folder: str, value: str = "value") -> DataFrame:
+    """step, n, loss: counts and means of each step of a stream, the latest state of each."""
+    sums = _stream(spark, path).groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.avg(value).alias("loss"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    q = sums.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(f"{folder}/out")
+    return got.groupBy("step").agg(F.max_by(F.struct("n", "loss"), "batch").alias("x")).select("step", "x.n", "x.loss")
+
+
+def barrier(spark: SparkSession, path: str, rank: Column, answer: Callable[[DataFrame, int], DataFrame], folder: str) -> DataFrame:
+    """All rows of a micro-batch answered in one call that knows their number, and written back under their ranks."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        whole = batch.withColumn("rank", rank)
+        answer(whole, whole.count()).write.mode("overwrite").partitionBy("rank").parquet(f"{folder}/out/batch={number}")
+
+    q = _stream(spark, path).writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch").withColumn("rank", F.col("rank").cast("bigint"))
