@@ -3,14 +3,17 @@
 A text is cut into blocks at blank lines and at lines that open with a list mark or a step label. In a block every
 terminator with the closing marks behind it is a node of the lattice; brackets and quotations span several nodes. A node
 ends a unit unless it lies inside a span that goes on, belongs to a number or an abbreviation, or is followed by what
-can only go on: a small letter, an attribution after a quotation, a quoting particle. In scripts without spaces the
-words before and after a gap are read off by the longest entry of small dictionaries of final and opening words.
+can only go on: a small letter, an attribution after a quotation, a quoting particle. In scripts without spaces the whole
+spans before and after a gap are segmented by a lattice of words, of dictionaries of final and opening words and of the
+words that the corpus itself shows; the last word before the gap and the first behind it then classify it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,7 +31,7 @@ _TITLE_LINKS = frozenset("в из до от к под у за на".split())
 _MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jänner jahrhundert klasse runde".split())
 SAID = r"said|says|asked|wrote|replied|cried|called|shouted|added|answered|dijo|preguntó|respondió|exclamó|gritó|sagte|fragte|rief|schrieb|meinte|antwortete|dit|demanda|répondit|cria|écrivit|спросил|спросила|сказал|сказала|ответил|ответила|крикнул|крикнула"
 _SAID = re.compile(r"(?:[^\W\d_][\w’'-]*\s+){1,3}(?:" + SAID + r")\b")
-_SAID_HI = re.compile(r"[^।?!“”\n]{0,60}?(?:पूछा|कहा|बोल|लिखा|चिल्ला)")
+_SAID_HI = re.compile(r"[^।?!“”\n]*?(?:पूछा|कहा|बोल|लिखा|चिल्ला)")
 _SAID_AR = re.compile(r"\s*[-—–]?\s*(?:سأل|قال|كتب|أجاب|صاح|هتف)")
 _SAID_ZH = re.compile(r"[^。！？\n，：“”]{0,8}?(?:问|说|道|喊|答|写)(?:道)?[。，！？：]")
 #: Words by which Japanese and Chinese go on after a quotation or an ellipsis.
@@ -40,36 +43,101 @@ OPENING = frozenset(
 )
 #: Words that close one.
 FINAL = frozenset("か ね よ です ます だ である た ない でしょう ですか ました 了 吗 呢 吧 啊 元 个 分 米 人 箱".split())
-_LATTICE = GOES_ON | OPENING | FINAL
-_LONGEST = max(map(len, _LATTICE))
-
-
-def lattice(text: str) -> list[str]:
-    """The cheapest way through the word lattice of a short text: a known word costs 1, an unknown sign 2."""
-    best: list[tuple[int, int]] = [(0, 0)]
-    for e in range(1, len(text) + 1):
-        ways = [(best[e - 1][0] + 2, e - 1)]
-        ways += [(best[s][0] + 1, s) for s in range(max(0, e - _LONGEST), e) if text[s:e] in _LATTICE]
-        best.append(min(ways))
-    out, e = [], len(text)
-    while e:
-        s = best[e][1]
-        out.append(text[s:e])
-        e = s
-    return out[::-1]
-
-
-def gap(text: str, start: int, s: int, e: int, end: int) -> bool | None:
-    """Whether the gap between the terminator at s and what follows at e ends a unit by the words beside it, if they tell."""
-    after = lattice(text[e : min(end, e + 8)])
+_BUILT_IN = GOES_ON | OPENING | FINAL
+#: A run of a script without spaces.
+_RUN = re.compile("[々〆぀-ヿ㐀-鿿豈-﫿]+")
+#: Letters of a learnt word at most, n-grams kept to learn them from, and how much more often than by chance they stand.
+LONGEST, NGRAMS, COHESION = 4, 100_000, 8.0
+
+
+class Lattice:
+    """The cheapest way through a text by known words: one costs about 1, rarer ones a little more, an unknown sign 2."""
+
+    def __init__(self, learnt: dict[str, float] | None = None):
+        self.cost = dict(learnt or {}) | dict.fromkeys(_BUILT_IN, 1.0)
+        self.longest = max(map(len, self.cost))
+
+    def words(self, text: str) -> list[str]:
+        best: list[tuple[float, int]] = [(0.0, 0)]
+        for e in range(1, len(text) + 1):
+            ways = [(best[e - 1][0] + 2.0, e - 1)]
+            for s in range(max(0, e - self.longest), e):
+                if (c := self.cost.get(text[s:e])) is not None:
+                    ways.append((best[s][0] + c, s))
+            best.append(min(ways))
+        out, e = [], len(text)
+        while e:
+            s = best[e][1]
+            out.append(text[s:e])
+            e = s
+        return out[::-1]
+
+
+def words_of_counts(counts: dict[str, int]) -> dict[str, float]:
+    """Words and their costs of n-gram counts: those whose parts stand together far more often than by chance.
+
+    An n-gram that begins or ends with a word of the dictionaries would hide it, and is no word.
+    """
+    total = sum(n for w, n in counts.items() if len(w) == 1) or 1
+    most = max(counts.values(), default=1)
+    out = {}
+    for w, n in counts.items():
+        if len(w) < 2 or n < 3 or any(w[:k] in _BUILT_IN or w[-k:] in _BUILT_IN for k in range(1, len(w))):
+            continue
+        chance = max(counts.get(w[:k], n) * counts.get(w[k:], n) for k in range(1, len(w))) / total
+        if n >= COHESION * chance:
+            # a rarer word costs up to a fifth more
+            out[w] = 1.0 + 0.2 * (1 - math.log1p(n) / math.log1p(most))
+    return out
+
+
+def learnt_words(docs: DataFrame, text: str = "text", most: int = NGRAMS) -> dict[str, float]:
+    """Words of spaceless scripts and their costs, from counts over all documents.
+
+    The model is bounded: of the n-grams of one to LONGEST signs the commonest most reach the driver.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter = Counter()
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame({"w": list(n.keys()), "n": list(n.values())}).astype({"w": object, "n": "int64"})
+
+        for pdf in batches:
+            for t in pdf["t"]:
+                if t and not t.isascii():
+                    for run in _RUN.findall(t):
+                        for k in range(1, LONGEST + 1):
+                            n.update(run[i : i + k] for i in range(len(run) - k + 1))
+            if len(n) > 500_000:
+                yield rows()
+                n.clear()
+        yield rows()
+
+    got = spread(docs.select(F.col(text).alias("t"))).mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    return words_of_counts({r[0]: r[1] for r in got.orderBy(F.desc("n"), "w").limit(most).collect()})
+
+
+def gap(text: str, start: int, s: int, e: int, end: int, lattice: Lattice) -> bool | None:
+    """Whether the gap between the terminator at s and what follows at e ends a unit by the words beside it, if they tell.
+
+    The spans that are segmented are the whole runs of the script on either side.
+    """
+    run = _RUN.match(text, e, end)
+    after = lattice.words(run.group()) if run else []
     if after and after[0] in OPENING:
         return True
     if after and after[0] in GOES_ON:
         return False
-    before = lattice(text[max(start, s - 8) : s])
+    head = text[start:s]
+    runs = [m for m in _RUN.finditer(head)]
+    before = lattice.words(runs[-1].group()) if runs and runs[-1].end() == len(head) else []
     return True if before and before[-1] in FINAL else None
-_TERMS = re.compile(r"[.!?…。！？؟।｡‼⁇⁈⁉]+")
-_WIDE = frozenset("。！？｡।؟‼⁇⁈⁉…")
+
+
+#: Stops of Latin and wide scripts, Arabic and Urdu, Devanagari, Khmer, Burmese, Ethiopic, Armenian and Tibetan.
+_TERMS = re.compile(r"[.!?…。！？؟۔।॥｡‼⁇⁈⁉។៕။።፧፨։།]+")
+_WIDE = frozenset("。！？｡।॥؟۔‼⁇⁈⁉…។៕။።፧፨։།")
 _CLOSE = {"”": "“„", "’": "‘", "»": "«", "«": "»", "“": "„", "」": "「", "』": "『", ")": "(", "）": "（(", "]": "[", "】": "【", "》": "《", "›": "‹"}
 _OPEN = frozenset("“„«「『(（[【《‹")
 _BRACKETS = re.compile(r"[“”„«»「」『』()（）\[\]【】《》\"]")
@@ -81,10 +149,11 @@ _WHITE_SET = re.compile(f"[{_WHITE}]")
 #: White space and invisible characters.
 BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad"
 _THAI_GAP = re.compile(r"(?<=[฀-๿])[ \xa0]+(?=[฀-๿])")
-_WORD_BEFORE = re.compile(r"[^\s(\[“”„«»\"—–/​-‏⁠﻿]*\Z")
+_BREAK = re.compile(r"[\s(\[“”„«»\"—–/​-‏⁠﻿]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _SKIP = re.compile(f"[{_WHITE}*_#\"'“”„«»‘’(（\\[【「『¿¡—–-]*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
-_ENDS = frozenset(".!?…。！？؟।:：;；")
+_ENDS = frozenset(".!?…。！？؟۔।॥។៕။።፧፨։།:：;；")
 
 
 def _blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -153,7 +222,7 @@ def _spans(text: str, start: int, end: int) -> dict[int, int]:
     return closed
 
 
-def _ends(text: str, start: int, end: int, ascii_: bool = False) -> Iterator[int]:
+def _ends(text: str, start: int, end: int, lattice: Lattice, ascii_: bool = False) -> Iterator[int]:
     """Ends (exclusive) of the units of a block, but for its last."""
     first = next(_TERMS.finditer(text, start, end), None)
     thai = [m.start() for m in _THAI_GAP.finditer(text, start, end)] if not ascii_ else []
@@ -230,10 +299,13 @@ def _ends(text: str, start: int, end: int, ascii_: bool = False) -> Iterator[int
             framed = text[max(unit, mark_end) : opened].strip(" \t\n\xa0-—–*_​")
             if not framed and run[-1] in "!?！？؟…" and _attributed(text, k, end, nxt):
                 continue
-            if not blank and (text[opened] in "「『" or "぀" <= text[e] <= "ヿ") and gap(text, unit, s, e, end) is False:
+            if not blank and (text[opened] in "「『" or "぀" <= text[e] <= "ヿ") and gap(text, unit, s, e, end, lattice) is False:
+                continue
+        elif run[-1] in "…！？" and not blank and _CJK.match(text[e]):
+            # a strong stop ends a unit unless the words go on, an ellipsis only if a final or an opening word says so
+            verdict = gap(text, unit, s, e, end, lattice)
+            if verdict is False or (run[-1] == "…" and not verdict):
                 continue
-        elif run[-1] in "…！？" and not blank and _CJK.match(text[e]) and gap(text, unit, s, e, end) is False:
-            continue
         yield e
         unit = e
     for p in thai[thai_at:]:
@@ -241,9 +313,17 @@ def _ends(text: str, start: int, end: int, ascii_: bool = False) -> Iterator[int
             yield p
 
 
+def _word_before(text: str, unit: int, s: int) -> str:
+    """The word that ends at s, within the unit."""
+    at = s
+    while at > unit and not _BREAK.match(text[at - 1]):
+        at -= 1
+    return text[at:s]
+
+
 def _short(text: str, unit: int, s: int, nxt: str, k: int, end: int) -> bool:
     """Whether the point at s belongs to an abbreviation, an initial or an ordinal."""
-    word = _WORD_BEFORE.search(text, max(unit, s - 24), s).group()
+    word = _word_before(text, unit, s)
     low = word.lower()
     if not low:
         return False
@@ -255,10 +335,9 @@ def _short(text: str, unit: int, s: int, nxt: str, k: int, end: int) -> bool:
     if low in BEFORE_FIGURE and (nxt.isdigit() or text[s + 1 : s + 3].strip()[:1] == "("):
         return True
     if low == "г" or low == "гг":
-        head = text[max(unit, s - 8) : s - len(word)].strip().lower().split()
-        return bool(head) and head[-1] in _TITLE_LINKS
+        return _word_before(text, unit, s - len(word) - len(text[unit : s - len(word)]) + len(text[unit : s - len(word)].rstrip())).lower() in _TITLE_LINKS
     if low.isdigit() and len(low) <= 2 and nxt.isupper():
-        m = re.match(r"[^\W\d_]+", text[k:end])
+        m = _LETTERS.match(text, k, end)
         return bool(m) and m.group().lower() in _MONTHS
     return False
 
@@ -270,29 +349,32 @@ _PLAIN = re.compile(r"[^\W\d_]{4,}\Z")
 
 def _plain(text: str, unit: int, s: int) -> bool:
     """Whether the word before the point at s is a plain one, so that even a small letter opens a sentence."""
-    word = _WORD_BEFORE.search(text, max(unit, s - 24), s).group()
+    word = _word_before(text, unit, s)
     return bool(_PLAIN.match(word)) and word.lower() not in LONG and word.lower() not in NEVER
 
 
 def _attributed(text: str, k: int, end: int, nxt: str) -> bool:
     """Whether a quotation that opens a unit goes on with who said it."""
-    rest = text[k : min(end, k + 80)]
     if "ऀ" <= nxt <= "ॿ":
-        return bool(_SAID_HI.match(rest))
+        return bool(_SAID_HI.match(text, k, end))
     if "؀" <= nxt <= "ۿ":
-        return bool(_SAID_AR.match(rest))
+        return bool(_SAID_AR.match(text, k, end))
     if _CJK.match(nxt or " "):
-        return bool(_SAID_ZH.match(rest)) or rest.startswith(("と", "って"))
-    return bool(_SAID.match(rest))
+        return bool(_SAID_ZH.match(text, k, end)) or text.startswith(("と", "って"), k, end)
+    return bool(_SAID.match(text, k, end))
 
 
-def unit_ends(text: str) -> list[tuple[int, int]]:
+#: The lattice of the dictionaries alone.
+PLAIN = Lattice()
+
+
+def unit_ends(text: str, lattice: Lattice = PLAIN) -> list[tuple[int, int]]:
     """(start, end) of each unit: code points before its first and up to its last character that isn't white space."""
     out = []
     ascii_ = text.isascii()
     for start, end in _blocks(text):
         at = start
-        for e in [*_ends(text, start, end, ascii_), end]:
+        for e in [*_ends(text, start, end, lattice, ascii_), end]:
             kept = text[at:e].rstrip(BLANK)
             if kept:
                 out.append((at + len(kept) - len(kept.lstrip(BLANK)), at + len(kept)))
@@ -303,16 +385,19 @@ def unit_ends(text: str) -> list[tuple[int, int]]:
 def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, unit (from 0), start_pos, end_pos, sentence of each unit of each text, in order.
 
-    Positions count code points. Null, empty and blank texts have no units. A text is one task's row whatever its
+    Words of scripts without spaces are learnt from all documents first. Positions count code points. Null, empty and blank texts have no units. A text is one task's row whatever its
     length; repeated rows are each cut. Extra columns are ignored.
     """
 
+    learnt = learnt_words(docs, text)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lattice = Lattice(learnt)
         for pdf in batches:
             out = []
             for k, t in zip(pdf["k"], pdf["t"]):
                 if t:
-                    out += [(k, n, s, e, t[s:e]) for n, (s, e) in enumerate(unit_ends(t))]
+                    out += [(k, n, s, e, t[s:e]) for n, (s, e) in enumerate(unit_ends(t, lattice))]
             yield pd.DataFrame(out, columns=["k", "unit", "start_pos", "end_pos", "sentence"])
 
     kind = dict(docs.dtypes)[key]

@@ -18,7 +18,7 @@ def units(text):
         ("Dr. Ann et al. got 3.5 vs. 4 for No. 2 of it. Then she left.", 2), ("See Fig. 9 and eq. (2) in vol. 114. It is odd.", 2), ('Ann wrote: "The sum is 589. It is odd." This is so.', 2), ('"Stop!" Umberto said, "we counted twice." Next one.', 2),
         ('"Is it 714?" asked Ann at Farholt. Yes.', 2), ("It ended at 12 p.m. Next came tea at 6 p.m. and more.", 2), ("What a mess?! (Compare the remark above.) So it is.", 3), ("Heading\n\nOne line\ngoes on. Two.", 3), ("1. First one\n2. Second one", 2),
         ("Step 1: one\nStep 2: two. Three", 3), ("We get 12 or\n13. That is it.", 2), ("« Est-ce 173 ? » demanda Amarit. Puis il part.", 2), ("—¿Son 201? —preguntó Corvin. Sí.", 2), ("Siehe S. 4 in Bd. 7 bzw. Abb. 2. Am 4. Mai kam z. B. er.", 2),
-        ("В г. Тарнби живёт ок. 8 тыс. чел., и т. д. Он ушёл.", 2), ("«Это 0?» — спросила Велда. Да.", 2), ("彼は「和は3です。奇数です。」と書いた。次に進む。", 2), ("「もう一度！」と言って、始めた。（図6を参照。）", 2), ("老师写道：“和是4。它是奇数。”然后减去2个。", 2), ("比上一轮高0分……首先计算3。", 2),
+        ("В г. Тарнби живёт ок. 8 тыс. чел., и т. д. Он ушёл.", 2), ("«Это 0?» — спросила Велда. Да.", 2), ("彼は「和は3です。奇数です。」と書いた。次に進む。", 2), ("「もう一度！」と言って、始めた。（図6を参照。）", 2), ("老师写道：“和是4。它是奇数。”然后减去2个。", 2), ("比上一轮高0分……首先计算3。", 2), ("我看见苹果……苹果很红。", 1), ("他走了……苹果很红。", 2),
         ("ราคาต่อชิ้นคือ 34.9 บาทเท่านั้น โมเดล larch ได้ 5 คะแนน", 2), ("“क्या यह 44 है?” मीरा ने पूछा। डॉ. वेल्डा आई।", 2), ("قاس د. أورمند نحو 39.9 متراً. هذا كثير جداً!", 2), ("", 0), (" \n​\n ", 0), ("...", 1), ("one two", 1),
     ],
 )
@@ -26,6 +26,23 @@ def test_units(text, want):
     assert len(units(text)) == want, units(text)
 
 
+def test_words_are_learnt_from_the_corpus(spark):
+    rng = random.Random(8)
+    words = "苹果 香蕉 小岚 老师 商店 朋友 书包 铅笔 河流 山谷".split()
+    texts = ["".join(rng.choice(words) + rng.choice(["", "买", "看", "说", "找", "画"]) for _ in range(8)) + "。" for _ in range(400)]
+    d = spark.createDataFrame([*enumerate(texts), (999, None), (998, "plain words")], DOC)
+    learnt = sentences.learnt_words(d)
+    assert set(words) <= set(learnt) and not {"果香", "岚老", "买苹"} & set(learnt)
+    assert sentences.Lattice(learnt).words("小岚买苹果找香蕉") == ["小岚", "买", "苹果", "找", "香蕉"]
+    # a longer word of the dictionary hides the particle that it begins with
+    assert sentences.PLAIN.words("でもある")[0] == "でも" and sentences.PLAIN.words("と言う")[0] == "と"
+    assert sentences.learnt_words(spark.createDataFrame([], DOC)) == {}
+
+
+def test_long_words_before_a_stop():
+    assert len(units("See " + "x" * 300 + "mr. Then he left.")) == 2
+
+
 def test_units_cover_the_text():
     rng = random.Random(2)
     for _ in range(300):
