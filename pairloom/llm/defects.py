@@ -92,11 +92,14 @@ class _Prompts:
         return words, language(question, words, 2), requested_language(prompt) if prompt else None, frozenset(NUMBER.findall(question))
 
 
-def _judge(prompts: _Prompts, prompt: str | None, value: str | None) -> tuple[str, str | None, str, int]:
-    """(kind, language, tail, structure): kind is a defect or the state of the end, as terminal.state has it."""
+def _judge(prompt: tuple[list[str], str | None, str | None, frozenset[str]], value: str | None) -> tuple[str, str | None, str, int]:
+    """(kind, language, tail, structure): kind is a defect or the state of the end, as terminal.state has it.
+
+    prompt: as _Prompts has it.
+    """
     if is_empty(value):
         return "empty", None, "", 0
-    question, spoken, asked, known = prompts.get(prompt)
+    question, spoken, asked, known = prompt
     text = terminal.bare(value)
     words = text.lower().split()
     own = language(text, words)
@@ -118,8 +121,9 @@ def judged(rows: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prompts = _Prompts()
         for pdf in batches:
+            asked = [prompts.get(p) for p in pdf["prompt"]]
             for field in FIELDS:
-                got = [_judge(prompts, p, v) for p, v in zip(pdf["prompt"], pdf[field])]
+                got = list(map(_judge, asked, pdf[field]))
                 contexts = terminal.end_contexts([x[2] for x in got], [x[3] for x in got])
                 yield pd.DataFrame({
                     "pair_id": pdf["pair_id"], "data_source": pdf["data_source"], "field_name": field, "kind": [x[0] for x in got], "lang": [x[1] for x in got],

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import ahocorasick
+
 #: Common words of languages in the Latin script. A word of several languages counts for each in equal parts.
 _WORDS = {
     "en": "the of and to is that each we this which are with it be first hence then from by for gives so at how many what does has have into both of you your one all their my i not as its there was were can but they she he his her when where who why than now only after before other every if or an on in no more a me am do be any please ask about per will would",
@@ -23,10 +25,12 @@ _WORDS = {
     "ro": "și este în la cu de pe un o din care pentru nu se mai sunt ce câte fiecare deci apoi ca sau dar prin dacă",
     "vi": "và là của có cho không được trong một các này với để những đã như khi thì ta số mỗi bao nhiêu còn vậy",
 }
-_LANGS: dict[str, list[str]] = {}
-for _lang, _text in _WORDS.items():
+_CODES = tuple(_WORDS)
+_LANGS: dict[str, list[int]] = {}
+for _k, _text in enumerate(_WORDS.values()):
     for _w in dict.fromkeys(_text.split()):
-        _LANGS.setdefault(_w, []).append(_lang)
+        _LANGS.setdefault(_w, []).append(_k)
+#: The languages of each word, by number.
 _OF = {w: tuple(x) for w, x in _LANGS.items()}
 #: Scripts of their own, by the first and last character of their blocks.
 _SCRIPTS = {
@@ -60,18 +64,21 @@ def language(text: str, words: list[str] | None = None, least: int = 3) -> str |
     """
     words = text.lower().split() if words is None else words
     found = Counter(filter(None, map(_OF.get, words)))
-    hits = found.total()
+    hits = sum(found.values())
     script, letters = _script(text)
     if letters >= 4 and letters >= 2 * hits:
         return script
     if hits < least:
         return None
-    score: Counter = Counter()
+    score = [0.0] * len(_CODES)
     for langs, k in found.items():
+        share = k / len(langs)
         for x in langs:
-            score[x] += k / len(langs)
-    (best, top), (_, second) = (*score.most_common(2), (None, 0.0))[:2]
-    return best if top >= 1.5 * second and top >= least / 2 else None
+            score[x] += share
+    top = max(score)
+    best = score.index(top)
+    score[best] = 0.0
+    return _CODES[best] if top >= 1.5 * max(score) and top >= least / 2 else None
 
 
 #: Phrases by which a text declines; each alone may also stand in a solution.
@@ -93,7 +100,27 @@ REFUSALS = (
     # Russian, Arabic, Hindi
     "не могу", "не смогу", "отказ", "не в состоянии", "لا أستطيع", "لا يمكنني", "أعتذر عن", "أرفض", "नहीं कर सकता", "नहीं कर सकती", "मदद नहीं", "असमर्थ",
 )
-_REFUSAL = re.compile("|".join(map(re.escape, REFUSALS)))
+
+
+def _automaton() -> ahocorasick.Automaton:
+    if not _built:
+        a = ahocorasick.Automaton()
+        for phrase in REFUSALS:
+            a.add_word(phrase, 1)
+        a.make_automaton()
+        _built.append(a)
+    return _built[0]
+
+
+#: Made once a process, by the first text.
+_built: list = []
+
+
+def declines(low: str) -> bool:
+    """Whether a text in lower case has a phrase of the dictionary."""
+    return next(_automaton().iter(low), None) is not None
+
+
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 #: What only a solution has: an equation, a filled box, an answer that is stated with a figure, a heading of steps.
 _SOLVES = re.compile(
@@ -120,6 +147,6 @@ def refuses(text: str, known: frozenset[str] | set[str] = frozenset()) -> bool:
     """
     low = text.lower().replace("’", "'")
     low = low if low.isascii() else _INVISIBLE.sub("", low)
-    if not _REFUSAL.search(low) or _SOLVES.search(low):
+    if not declines(low) or _SOLVES.search(low):
         return False
-    return not solves(" ".join(x for x in _SENTENCE.split(low) if not _REFUSAL.search(x)), known)
+    return not solves(" ".join(x for x in _SENTENCE.split(low) if not declines(x)), known)

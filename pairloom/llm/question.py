@@ -63,7 +63,11 @@ _EDGE = " \t\r\n   　"
 
 
 def _may_ask(text: str) -> bool:
-    return any(map(text.lower().__contains__, _NAME_OF))
+    low = text.lower()
+    for name in _NAME_OF:
+        if name in low:
+            return True
+    return False
 
 
 def strip_template(prompt: str) -> str:
