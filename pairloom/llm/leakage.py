@@ -94,44 +94,52 @@ def prefix_tokens(item: list[str], often: np.ndarray, run: int = RUN, share: flo
 
 
 class Scan:
-    """Finds the places of a document's words where prefix tokens may stand."""
+    """Finds the places of documents' words where prefix tokens may stand, a batch of documents at a time."""
 
     def __init__(self, bits: np.ndarray, sizes: list[int], run: int = RUN):
         self.bits, self.sizes, self.width = bits, sizes, min(SHINGLE, run)
         self.known: dict[str, int] = {}
 
-    def hits(self, ws: list[str]) -> list[tuple[int, int]]:
-        """(token, position), with some that are no tokens."""
-        for w in set(ws).difference(self.known):
+    def hits(self, docs: list[list[str]]) -> list[list[tuple[int, int]]]:
+        """(token, position) of each document, with some that are no tokens."""
+        flat = [w for ws in docs for w in ws]
+        for w in set(flat).difference(self.known):
             self.known[w] = word_hash(w)
-        h = np.array([self.known[w] for w in ws], np.uint64)
+        h = np.fromiter(map(self.known.__getitem__, flat), np.uint64, len(flat))
         if len(self.known) > 200_000:
             self.known.clear()
-        out: list[tuple[int, int]] = []
+        lens = np.array([len(ws) for ws in docs], np.int64)
+        ends = np.cumsum(lens)
+        doc = np.repeat(np.arange(len(docs)), lens)
+        out: list[list[tuple[int, int]]] = [[] for _ in docs]
 
         def keep(tokens: np.ndarray, at: np.ndarray) -> None:
             ok = among(self.bits, tokens)
-            out.extend(zip(tokens[ok].tolist(), at[ok].tolist()))
+            for t, p in zip(tokens[ok].tolist(), at[ok].tolist()):
+                d = doc[p]
+                out[d].append((t, p - int(ends[d] - lens[d])))
 
         n = len(h) - self.width + 1
         if n > 0:
             gram = np.zeros(n, np.uint64)
             for k in range(self.width):
                 gram = gram * np.uint64(_B) + h[k : k + n]
-            keep(_mix(gram, np.uint64(_SHINGLES)), np.arange(n))
+            inner = np.flatnonzero(doc[:n] == doc[self.width - 1 :])
+            keep(_mix(gram[inner], np.uint64(_SHINGLES)), inner)
+        every = np.arange(len(h))
         for size in self.sizes:
-            keep(_mix(h, np.uint64(_LONE), np.uint64(size)), np.arange(len(h)))
+            keep(_mix(h, np.uint64(_LONE), np.uint64(size)), every)
         near = np.flatnonzero(among(self.bits, _mix(h, np.uint64(_WORDS))))
         if len(near):
             for p in np.flatnonzero(among(self.bits, _mix(h, np.uint64(_NUMBERS)))).tolist():
-                if not ws[p].isdigit():
+                if not flat[p].isdigit():
                     continue
+                first, last = ends[doc[p]] - lens[doc[p]], ends[doc[p]] - 1
                 for size in self.sizes:
                     far = reach(size)
-                    beside = near[np.searchsorted(near, p - far) : np.searchsorted(near, p + far, "right")]
-                    tokens = _mix(np.full(len(beside), h[p], np.uint64), np.uint64(_NEAR), h[beside], np.uint64(size))
-                    if among(self.bits, tokens).any():
-                        keep(np.unique(tokens), np.full(len(np.unique(tokens)), p))
+                    beside = near[np.searchsorted(near, max(first, p - far)) : np.searchsorted(near, min(last, p + far), "right")]
+                    tokens = np.unique(_mix(np.full(len(beside), h[p], np.uint64), np.uint64(_NEAR), h[beside], np.uint64(size)))
+                    keep(tokens, np.full(len(tokens), p))
         return out
 
 
@@ -214,13 +222,15 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", tex
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scan(bits, sizes)
         for pdf in batches:
-            out = []
-            for k, t in zip(pdf["k"], pdf["t"]):
-                ws = words(t)
-                if ws and (hits := scanner.hits(ws)):
-                    row = xxhash.xxh3_128_hexdigest(f"{k}\0{t}".encode("utf-8", "surrogatepass"))
-                    out.append((row, k, " ".join(ws), [h - (1 << 63) for h, _ in hits], [p for _, p in hits]))
-            yield pd.DataFrame(out, columns=["row", "k", "words", "tokens", "places"])
+            for s in range(0, len(pdf), 500):
+                keys, texts_ = pdf["k"].iloc[s : s + 500].tolist(), pdf["t"].iloc[s : s + 500].tolist()
+                split = [words(t) for t in texts_]
+                out = []
+                for k, t, ws, hits in zip(keys, texts_, split, scanner.hits(split)):
+                    if hits:
+                        row = xxhash.xxh3_128_hexdigest(f"{k}\0{t}".encode("utf-8", "surrogatepass"))
+                        out.append((row, k, " ".join(ws), [h - (1 << 63) for h, _ in hits], [p for _, p in hits]))
+                yield pd.DataFrame(out, columns=["row", "k", "words", "tokens", "places"])
 
     found = materialise(spread(texts).mapInPandas(scan, "row string, k string, words string, tokens array<bigint>, places array<int>"), "hits")
     salt = lambda c: F.pmod(F.hash(c), F.lit(salts))
