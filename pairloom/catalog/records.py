@@ -316,3 +316,64 @@ def reduced_metrics(s, sf):
     """Metrics of ranks reduced by mean (unweighted), maximum and sum."""
     b = table(s, sf, "events").groupBy(F.floor(F.col("event_id") / 500).alias("step")).agg(F.avg("value").alias("m"), F.max("value").alias("hi"), F.sum("value").alias("total"), F.count("*").alias("n"))
     return b.agg(F.round(F.avg("m"), 6).alias("mean_of_means"), F.max("hi").alias("hi"), F.round(F.sum("total"), 3).alias("total"), F.sum("n").alias("n"))
+
+
+_HEAD = "'<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"
+
+
+@C.add(f"""SELECT pair_id, md5({_HEAD}) AS prompt, md5(chosen) AS chosen, md5(rejected) AS rejected, coalesce(len(chosen_logprob_with_token.logprobs), 0) AS chosen_logprobs, coalesce(len(rejected_logprob_with_token.logprobs), 0) AS rejected_logprobs,
+ coalesce(answer_label, '0') AS answer_label, CAST(0 AS DOUBLE) AS margin FROM repo_train WHERE prompt IS NOT NULL AND chosen IS NOT NULL AND rejected IS NOT NULL""")
+def preference_forms(s, sf):
+    """Complete pairs with their prompt in a chat format, their logprobs, a label and a margin."""
+    d = table(s, sf, "repo_train").where("prompt is not null and chosen is not null and rejected is not null")
+    n = lambda side: F.coalesce(F.size(F.col(f"{side}_logprob_with_token.logprobs")).cast("bigint"), F.lit(0)).alias(f"{side}_logprobs")
+    size = lambda side: F.when(F.col(f"{side}_logprob_with_token").isNull(), F.lit(0).cast("bigint")).otherwise(n(side)).alias(f"{side}_logprobs")
+    prompt = templates.rendered(templates.template("chatml-plain"), input=F.col("prompt"))
+    return d.select("pair_id", F.md5(prompt).alias("prompt"), F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"), size("chosen"), size("rejected"), F.coalesce("answer_label", F.lit("0")).alias("answer_label"), F.lit(0.0).alias("margin"))
+
+
+@C.add("""SELECT problem_index, CASE WHEN response IS NULL THEN 1 ELSE 2 END AS turns, md5(CASE WHEN response IS NULL THEN '' ELSE response || '<|im_end|>' || chr(10) END) AS rest FROM math_problem WHERE question IS NOT NULL""")
+def chat_response(s, sf):
+    """What a chat has beyond the prompt with the assistant's opening: the last turn with its end mark."""
+    d = table(s, sf, "math_problem").where("question is not null")
+    turn = lambda role, text: F.concat(F.lit(f"<|im_start|>{role}\n"), text, F.lit("<|im_end|>\n"))
+    turns = F.filter(F.array(turn("user", F.col("question")), turn("assistant", F.col("response"))), lambda x: x.isNotNull())
+    opened = F.concat(turn("user", F.col("question")), F.lit("<|im_start|>assistant\n"))
+    whole = F.array_join(turns, "")
+    rest = F.when(F.startswith(whole, opened), F.substr(whole, F.length(opened) + 1)).otherwise(F.lit(""))
+    return d.select("problem_index", F.size(turns).alias("turns"), F.md5(rest).alias("rest"))
+
+
+@C.add("""WITH x AS (SELECT pair_id, string_split(chosen, chr(10)) AS p, chosen_logprob_with_token.logprobs AS lp, len(string_split(prompt, ' ')) AS np FROM repo_train WHERE len(chosen_logprob_with_token.logprobs) > 0 AND prompt IS NOT NULL AND chosen IS NOT NULL)
+SELECT pair_id, CAST(len(list_filter(p, lambda v: starts_with(v, 'Step'))) AS INT) AS steps, len(list_filter(p, lambda v: starts_with(v, 'Step'))) >= 1 AS kept, round(list_sum(lp[least(np, 2) + 1:]), 5) AS after_prompt, CAST(greatest(len(lp) - 2, 0) AS INT) AS counted FROM x WHERE np >= 2""")
+def masked_scores(s, sf):
+    """Step positions of a response, whether there is one, and the logprobs that lie behind a prompt of two tokens."""
+    lp, lines = F.col("chosen_logprob_with_token.logprobs"), F.split("chosen", "\n")
+    d = table(s, sf, "repo_train").where("prompt is not null and chosen is not null").where(F.size(lp) > 0).where(F.size(F.split("prompt", " ")) >= 2)
+    steps = F.filter(F.transform(lines, lambda v, i: F.struct(F.startswith(v, F.lit("Step")).alias("is"), i.alias("at"))), lambda x: x["is"])
+    behind = F.slice(lp, F.lit(3), F.greatest(F.size(lp) - 2, F.lit(0)))
+    total = F.when(F.size(behind) > 0, F.round(A.total(behind), 5))
+    return d.select("pair_id", F.size(steps).alias("steps"), (F.size(steps) >= 1).alias("kept"), total.alias("after_prompt"), F.size(behind).alias("counted"))
+
+
+@C.add("""SELECT 'train' AS route, doc_id FROM documents WHERE contains(source, 'rollouts') UNION ALL SELECT 'test', doc_id FROM documents WHERE contains(source, 'notes')""")
+def routed_load(s, sf):
+    """Two loads by the names of sources, one for each route, put side by side."""
+    d = table(s, sf, "documents")
+    part = lambda route, word: d.where(F.contains("source", F.lit(word))).select(F.lit(route).alias("route"), "doc_id")
+    return part("train", "rollouts").unionByName(part("test", "notes"))
+
+
+@C.add("""SELECT prompt_id, model, CAST(1 AS BIGINT) AS batches FROM (SELECT DISTINCT prompt_id, model FROM generation)""")
+def batch_skip(s, sf):
+    """Batches by number: one that is there already is left out when the job runs again."""
+    from ..sources import sinks
+    from .io import _folder
+
+    d = table(s, sf, "generation").select("prompt_id", "model").distinct().withColumn("batch", F.pmod(F.xxhash64("prompt_id"), F.lit(4)))
+    folder = _folder(s)
+    first = sinks.write_batches(s, d.where("batch < 2"), folder, "batch")
+    again = sinks.write_batches(s, d, folder, "batch")
+    if set(first) & set(again):
+        raise ValueError("a batch was written twice")
+    return s.read.parquet(folder).groupBy("prompt_id", "model").agg(F.countDistinct("batch").alias("batches"))

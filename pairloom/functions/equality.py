@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import signal
+import threading
 from collections.abc import Callable
 from math import isclose
 
@@ -224,6 +226,30 @@ GRADERS: dict[str, Callable[[list[str], list[str]], bool]] = {
 }
 
 
+def within(f: Symbolic, seconds: float = 1.0) -> Symbolic:
+    """f, or False where it takes longer. A worker runs it in its main thread, which an alarm interrupts; other threads
+    have no alarm and run it to its end."""
+
+    def limited(a: str, b: str) -> bool:
+        if threading.current_thread() is not threading.main_thread():
+            return f(a, b)
+
+        def stop(number: int, frame: object) -> None:
+            raise TimeoutError
+
+        before = signal.signal(signal.SIGALRM, stop)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        try:
+            return f(a, b)
+        except TimeoutError:
+            return False
+        finally:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+
+    return limited
+
+
 def on_text(f: Callable[[str], float | None]):
     """f as a pandas UDF of one column to numbers; null in, null out."""
 
@@ -244,8 +270,12 @@ def on_pairs(f: Callable):
     return verdict
 
 
-def math_equal_full(prediction: Column, reference: Column, symbolic: Symbolic = symbolic_equal) -> Column:
-    """same_math as a column: equal texts and plain numbers are settled by columns, the rest goes to Python in batches."""
+def math_equal_full(prediction: Column, reference: Column, symbolic: Symbolic = symbolic_equal, seconds: float = 1.0) -> Column:
+    """same_math as a column: equal texts and plain numbers are settled by columns, the rest goes to Python in batches.
+
+    symbolic: the step that compares formulas, e.g. a computer algebra system; it has so many seconds for each pair.
+    """
+    symbolic = within(symbolic, seconds)
     plain = r"\A[+-]?[0-9]+(?:\.[0-9]+)?\z"
     both = prediction.rlike(plain) & reference.rlike(plain)
     p, r = prediction.try_cast("double"), reference.try_cast("double")

@@ -11,7 +11,7 @@ import math
 import re
 from collections.abc import Callable
 
-_TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d*)?|\.\d+)|(\\[a-zA-Z]+)|([a-zA-Z]+)|(\*\*|.))", re.S)
+_TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d*)?|\.\d+)|(\\[a-zA-Z]+|\\.)|([a-zA-Z]+)|(\*\*|.))", re.S)
 _NAMES: dict[str, complex] = {"pi": math.pi, "infty": math.inf}
 _CALLS: dict[str, Callable] = {
     "sqrt": cmath.sqrt, "sin": cmath.sin, "cos": cmath.cos, "tan": cmath.tan, "exp": cmath.exp, "ln": cmath.log,
@@ -28,6 +28,7 @@ class _Parser:
     def __init__(self, text: str):
         self.tokens = [t for m in _TOKEN.finditer(text) if (t := next(filter(None, m.groups()), "").strip()) and t not in _IGNORED]
         self.at, self.depth = 0, 0
+        self.letters: set[str] = set()
 
     def peek(self) -> str:
         return self.tokens[self.at] if self.at < len(self.tokens) else ""
@@ -119,6 +120,7 @@ class _Parser:
             raise ValueError(t)
         if name.isalpha():
             # letters side by side are a product
+            self.letters.update(name)
             tree = ("var", name[0])
             for c in name[1:]:
                 tree = ("*", tree, ("var", c))
@@ -148,28 +150,23 @@ def _value(tree: tuple, at: dict[str, complex]) -> complex:
     return a**b
 
 
-def _letters(tree: tuple) -> set[str]:
-    if tree[0] == "var":
-        return {tree[1]}
-    return set().union(*(_letters(x) for x in tree[1:] if isinstance(x, tuple)))
-
-
-def parse(text: str) -> tuple | None:
-    """The tree of an expression, null if it is none."""
+def parse(text: str) -> tuple[tuple, set[str]] | None:
+    """The tree of an expression and its letters, null if it is none."""
     try:
-        return _Parser(text).whole()
+        parser = _Parser(text)
+        return parser.whole(), parser.letters
     except (ValueError, RecursionError):
         return None
 
 
 def number(text: str) -> float | None:
     """The value of a closed real expression."""
-    tree = parse(text)
-    if tree is None or _letters(tree):
+    got = parse(text)
+    if got is None or got[1]:
         return None
     try:
-        v = complex(_value(tree, {}))
-    except (ArithmeticError, ValueError):
+        v = complex(_value(got[0], {}))
+    except (ArithmeticError, ValueError, RecursionError):
         return None
     return v.real if abs(v.imag) < 1e-9 else None
 
@@ -179,11 +176,12 @@ def symbolic_equal(a: str, b: str, tolerance: float = 1e-3) -> bool:
     x, y = parse(a), parse(b)
     if x is None or y is None:
         return False
-    letters = sorted(_letters(x) | _letters(y))
+    letters = sorted(x[1] | y[1])
     points = [{c: p + 0.1931 * i for i, c in enumerate(letters)} for p in _POINTS] if letters else [{}]
     try:
-        pairs = [(complex(_value(x, at)), complex(_value(y, at))) for at in points]
-    except (ArithmeticError, ValueError, TypeError):
+        pairs = [(complex(_value(x[0], at)), complex(_value(y[0], at))) for at in points]
+    except (ArithmeticError, ValueError, TypeError, RecursionError):
         return False
-    near = 1e-9 if letters else tolerance
-    return all(abs(p - q) <= max(near, near * max(abs(p), abs(q)) * (1e-3 if not letters else 1.0)) for p, q in pairs)
+    if not letters:
+        return all(abs(p - q) <= max(tolerance, 1e-9 * max(abs(p), abs(q))) for p, q in pairs)
+    return all(abs(p - q) <= 1e-9 * max(1.0, abs(p), abs(q)) for p, q in pairs)

@@ -72,3 +72,16 @@ def current(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
 def write_scalars(rows: DataFrame, path: str, step: str, names: list[str]) -> None:
     """step, name, value: a row for each scalar of each step."""
     rows.unpivot(step, [F.col(n).cast("double").alias(n) for n in names], "name", "value").write.mode("append").parquet(path)
+
+
+def write_batches(spark: SparkSession, rows: DataFrame, folder: str, number: str) -> list[int]:
+    """Writes the batches (by number, a column of few values) that the folder lacks, in one job; returns their numbers."""
+    from .folders import listed
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    done = {int(x.split("=")[1]) for x in listed(spark, folder) if x.startswith(number + "=")} if exists else set()
+    fresh = rows.where(~F.col(number).isin(*done)) if done else rows
+    numbers = sorted(r[0] for r in fresh.select(number).distinct().collect())
+    fresh.write.mode("append").partitionBy(number).parquet(folder)
+    return numbers
