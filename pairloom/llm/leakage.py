@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +28,10 @@ from .rarity import SKETCH, among, bitmap, word_hash, word_rarity
 RUN, SHARE = 13, 0.75
 #: Words of a shingle.
 SHINGLE = 5
+#: Prefix tokens that a passage must have together, where the item has words enough.
+TOGETHER = 3
+#: Pairs of a number and a word near it that are tested at once.
+PAIRS = 1 << 20
 #: The prefix tokens of all items are sent to the tasks as a bitmap of at most 2**FILTER_BITS bits.
 FILTER_BITS = 27
 _WORD = re.compile(r"[^\W_]+")
@@ -59,10 +63,11 @@ def _mix(*parts):
     return h
 
 
-def prefix_tokens(item: list[str], often: np.ndarray, run: int = RUN, share: float = SHARE) -> list[tuple[int, str, int]]:
-    """(token, kind, position in the item) that a document can't do without if it holds the item.
+def prefix_tokens(item: list[str], often: np.ndarray, run: int = RUN, share: float = SHARE) -> tuple[int, list[tuple[int, str, int]]]:
+    """The item's class and (token, kind, position in the item) that a document can't do without if it holds the item.
 
-    kind: run and passage tokens are joined; number and word tokens only let a document's words be tested in pairs.
+    kind: run and passage tokens are joined; number and word tokens only let a document's words be tested in pairs. The
+    class is 4 * size + together: a passage has at least together of the passage tokens, near one number.
     """
     hashes = [word_hash(w) for w in item]
     rare = [int(often[h >> 64 - SKETCH]) for h in hashes]
@@ -76,28 +81,31 @@ def prefix_tokens(item: list[str], often: np.ndarray, run: int = RUN, share: flo
         shingles.append((min(rare[s : s + width]), h, s))
     chosen = {min(shingles[s : s + run - width + 1]) for s in range(n - run + 1)}
     out += [(_mix(h, _SHINGLES), "run", s) for _, h, s in chosen]
-    size, lack = n.bit_length(), n - need(n, share) + 1
     order = sorted(range(n), key=lambda i: (rare[i], hashes[i], i))
     numbers = [i for i in order if item[i].isdigit()]
-    if not numbers:
-        out += [(_mix(hashes[i], _LONE, size), "passage", i) for i in order[:lack]]
-    else:
+    others = list(dict.fromkeys(hashes[i] for i in order if not item[i].isdigit()))
+    # a passage may lack so many words, hence at most so many different ones
+    lack = n - need(n, share)
+    together = max(0, min(TOGETHER, len(others) - lack)) if numbers else 0
+    kind = 4 * n.bit_length() + together
+    if together:
         at = numbers[0]
-        if need(n, share) > len(numbers):
-            near = [i for i in order if not item[i].isdigit()][:lack]
-            out += [(_mix(hashes[at], _NEAR, hashes[i], size), "passage", at) for i in near]
-            out += [(_mix(hashes[i], _WORDS), "word", i) for i in near]
-            out.append((_mix(hashes[at], _NUMBERS), "number", at))
-        else:
-            out.append((_mix(hashes[at], _LONE, size), "passage", at))
-    return list(set(out))
+        near = others[: lack + together]
+        out += [(_mix(hashes[at], _NEAR, h, kind), "passage", at) for h in near]
+        out += [(_mix(h, _WORDS), "word", at) for h in near]
+        out.append((_mix(hashes[at], _NUMBERS), "number", at))
+    elif numbers:
+        out.append((_mix(hashes[numbers[0]], _LONE, kind), "passage", numbers[0]))
+    else:
+        out += [(_mix(h, _LONE, kind), "passage", 0) for h in others[: lack + 1]]
+    return kind, list(set(out))
 
 
 class Scan:
     """Finds the places of documents' words where prefix tokens may stand, a batch of documents at a time."""
 
-    def __init__(self, bits: np.ndarray, sizes: list[int], run: int = RUN):
-        self.bits, self.sizes, self.width = bits, sizes, min(SHINGLE, run)
+    def __init__(self, bits: np.ndarray, kinds: list[int], run: int = RUN):
+        self.bits, self.kinds, self.width = bits, kinds, min(SHINGLE, run)
         self.known: dict[str, int] = {}
 
     def hits(self, docs: list[list[str]]) -> list[list[tuple[int, int]]]:
@@ -127,19 +135,36 @@ class Scan:
             inner = np.flatnonzero(doc[:n] == doc[self.width - 1 :])
             keep(_mix(gram[inner], np.uint64(_SHINGLES)), inner)
         every = np.arange(len(h))
-        for size in self.sizes:
-            keep(_mix(h, np.uint64(_LONE), np.uint64(size)), every)
+        for kind in self.kinds:
+            if not kind % 4:
+                keep(_mix(h, np.uint64(_LONE), np.uint64(kind)), every)
         near = np.flatnonzero(among(self.bits, _mix(h, np.uint64(_WORDS))))
-        if len(near):
-            for p in np.flatnonzero(among(self.bits, _mix(h, np.uint64(_NUMBERS)))).tolist():
-                if not flat[p].isdigit():
-                    continue
-                first, last = ends[doc[p]] - lens[doc[p]], ends[doc[p]] - 1
-                for size in self.sizes:
-                    far = reach(size)
-                    beside = near[np.searchsorted(near, max(first, p - far)) : np.searchsorted(near, min(last, p + far), "right")]
-                    tokens = np.unique(_mix(np.full(len(beside), h[p], np.uint64), np.uint64(_NEAR), h[beside], np.uint64(size)))
-                    keep(tokens, np.full(len(tokens), p))
+        numbers = np.flatnonzero(among(self.bits, _mix(h, np.uint64(_NUMBERS))))
+        if not len(near) or not len(numbers):
+            return out
+        first, last = (ends - lens)[doc[numbers]], ends[doc[numbers]] - 1
+        for kind in self.kinds:
+            if not kind % 4:
+                continue
+            far = reach(kind // 4)
+            begin = np.searchsorted(near, np.maximum(first, numbers - far))
+            n_near = np.searchsorted(near, np.minimum(last, numbers + far), "right") - begin
+            # as many numbers at once as have PAIRS words near them
+            cuts = np.flatnonzero(np.diff(np.cumsum(n_near) // PAIRS)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)]):
+                k = n_near[s:e]
+                of = np.repeat(np.arange(s, e), k)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[s:e], k)
+                tokens = _mix(h[numbers[of]], np.uint64(_NEAR), h[near[at]], np.uint64(kind))
+                ok = among(self.bits, tokens)
+                of, tokens = of[ok], tokens[ok]
+                by = np.lexsort((tokens, of))
+                of, tokens = of[by], tokens[by]
+                new = np.ones(len(of), bool)
+                new[1:] = (of[1:] != of[:-1]) | (tokens[1:] != tokens[:-1])
+                of, tokens = of[new], tokens[new]
+                enough = np.bincount(of, minlength=e)[of] >= kind % 4
+                keep(tokens[enough], numbers[of[enough]])
         return out
 
 
@@ -209,18 +234,20 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", tex
             out = []
             for i, q in zip(pdf["i"], pdf["q"]):
                 ws = words(q)
-                out += [(i, q, len(ws).bit_length(), t - (1 << 63), kind, at) for t, kind, at in (prefix_tokens(ws, often) if ws else [])]
-            yield pd.DataFrame(out, columns=["i", "q", "size", "token", "kind", "at"])
+                if ws:
+                    group, found = prefix_tokens(ws, often)
+                    out += [(i, q, group, t - (1 << 63), kind, at) for t, kind, at in found]
+            yield pd.DataFrame(out, columns=["i", "q", "class", "token", "kind", "at"])
 
-    prefix = materialise(spread(asked).mapInPandas(tokens, "i string, q string, size int, token bigint, kind string, at int"), "prefix")
-    sizes = sorted(r[0] for r in prefix.select("size").distinct().collect())
+    prefix = materialise(spread(asked).mapInPandas(tokens, "i string, q string, class int, token bigint, kind string, at int"), "prefix")
+    kinds = sorted(r[0] for r in prefix.select("class").distinct().collect())
     many = prefix.count()
-    size = min(FILTER_BITS, max(16, (32 * many).bit_length()))
+    size = min(FILTER_BITS, max(16, (256 * many).bit_length()))
     # tokens are kept as signed numbers: their first bit is turned back
     bits = bitmap(prefix.select(F.col("token").bitwiseXOR(F.lit(-(1 << 63)))), size)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scan(bits, sizes)
+        scanner = Scan(bits, kinds)
         for pdf in batches:
             for s in range(0, len(pdf), 500):
                 keys, texts_ = pdf["k"].iloc[s : s + 500].tolist(), pdf["t"].iloc[s : s + 500].tolist()
@@ -235,19 +262,20 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", tex
     found = materialise(spread(texts).mapInPandas(scan, "row string, k string, words string, tokens array<bigint>, places array<int>"), "hits")
     salt = lambda c: F.pmod(F.hash(c), F.lit(salts))
     hits = found.select("row", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select("row", F.col("x.tokens").alias("token"), F.col("x.places").alias("place"), salt("row").alias("salt"))
-    own = prefix.where("kind in ('run', 'passage')").select("i", "q", "token", "kind", F.col("at").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    met = hits.join(own, ["token", "salt"]).groupBy("row", "i", "q").agg(F.collect_set(F.struct("kind", "place", "of")).alias("at"))
+    own = prefix.where("kind in ('run', 'passage')").select("i", "q", "class", "token", "kind", F.col("at").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    met = hits.join(own, ["token", "salt"]).groupBy("row", "i", "q", "class").agg(F.collect_set(F.struct("kind", "place", "of", "token")).alias("at"))
     held = met.join(found.select("row", "k", "words").dropDuplicates(["row"]), "row")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = lru_cache(1000)(words)
         for pdf in batches:
             out = []
-            for k, i, q, at, text in zip(pdf["k"], pdf["i"], pdf["q"], pdf["at"], pdf["words"]):
+            for k, i, q, group, at, text in zip(pdf["k"], pdf["i"], pdf["q"], pdf["class"], pdf["at"], pdf["words"]):
                 ws, item = text.split(" "), of(q)
                 run = any(holds_run(ws, x["place"], item, x["of"]) for x in at if x["kind"] == "run")
                 far, done, passage = reach(len(item).bit_length()), -1, False
-                for p in sorted(x["place"] for x in at if x["kind"] == "passage"):
+                places = Counter(x["place"] for x in at if x["kind"] == "passage")
+                for p in sorted(p for p, n in places.items() if n >= group % 4):
                     # windows of neighbouring places that the last one covered aren't searched again
                     if not passage and p > done:
                         done = p + far

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,17 +25,13 @@ def word_rarity(texts: DataFrame, split: Callable[[str], list[str]]) -> np.ndarr
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(1 << SKETCH, np.int64)
-        places: dict[str, int] = {}
         for pdf in batches:
+            seen: Counter = Counter()
             for text in pdf["text"]:
-                if not text:
-                    continue
-                own = set(split(text))
-                for w in own.difference(places):
-                    places[w] = word_hash(w) >> 64 - SKETCH
-                np.add.at(n, [places[w] for w in own], 1)
-                if len(places) > 200_000:
-                    places.clear()
+                if text:
+                    seen.update(set(split(text)))
+            if seen:
+                np.add.at(n, [word_hash(w) >> 64 - SKETCH for w in seen], list(seen.values()))
         at = np.flatnonzero(n)
         yield pd.DataFrame({"at": at.astype(np.int32), "n": n[at]})
 
