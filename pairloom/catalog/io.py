@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..plans.lineage import shared_folder
+from ..plans.lineage import scratch_folder
 from ..plans.registry import Catalog
 from ..sources import folders, sinks
 from ..sources.tables import concat, read_jsonl, read_many, read_path, table
@@ -16,7 +14,7 @@ C = Catalog()
 
 
 def _folder(s) -> str:
-    return f"{shared_folder(s)}/pairloom/io-{uuid.uuid4().hex}"
+    return scratch_folder(s, "io")
 
 
 @C.add("SELECT problem_index, md5(question) AS question, md5(response) AS response, answer FROM math_problem")

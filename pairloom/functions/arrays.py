@@ -158,5 +158,5 @@ def unpack(x: Column, lens: Column) -> Column:
 
 
 def log_softmax(x: Column | str) -> Column:
-    lse = logsumexp(x)
-    return F.transform(_c(x), lambda item: item - lse)
+    """The logarithm of the sum is bound once, not computed anew for each entry."""
+    return F.get(F.transform(F.array(logsumexp(x)), lambda whole: F.transform(_c(x), lambda item: item - whole)), F.lit(0))
