@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.lineage import materialise
+from ..plans.lineage import drop, materialise
 
 _INVISIBLE = "[\\u200b-\\u200f\\u2060\\ufeff\\u00ad]"
 _BLANK = "[\\s\\u0085\\u00a0\\u2000-\\u200a\\u2028\\u2029\\u202f\\u3000]"
@@ -66,6 +66,7 @@ def _classed(rows: DataFrame, fields: tuple[str, ...], name: str) -> DataFrame:
     level1 = F.xxhash64(*[invariants(F.col(f)) for f in fields])
     cheap = materialise(rows.select(level1.alias("level1")), "invariants")
     shared = materialise(cheap.groupBy("level1").agg(F.count("*").alias("n")).where("n > 1").select("level1"), "shared")
+    drop(cheap)
     size = min(FILTER_BITS, max(10, (16 * shared.count()).bit_length()))
     slot = lambda h: F.shiftrightunsigned(h, 64 - size + 6)
     bit = "shiftleft(1L, cast(pmod({0} >> " + str(64 - size) + ", 64) as int))"

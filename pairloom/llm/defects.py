@@ -12,7 +12,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.lineage import materialise
+from ..plans.lineage import drop, materialise
 from ..plans.spread import spread
 from . import terminal
 from .language import NUMBER, language, refuses, solves
@@ -273,6 +273,7 @@ def defective_pairs(rows: DataFrame) -> DataFrame:
     """
     values = materialise(judged(rows), "judged")
     with_odds = materialise(scored(rows, values), "scored")
+    drop(values)
     limits = thresholds(with_odds)
     spark = rows.sparkSession
     table = spark.createDataFrame([(k[0], k[1], v) for k, v in limits.items()], "l string, f string, threshold double")

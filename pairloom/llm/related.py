@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..plans.lineage import materialise
+from ..plans.lineage import drop, materialise
 from .same_question import class_pairs, classes_of, word_rows
 
 
@@ -32,7 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
         levels.append(parent)
         on = lambda c: parent.select(F.col("u").alias(c), F.col("p").alias("p" + c))
         drawn = left.join(on("u"), "u").join(on("v"), "v").where("pu <> pv")
-        left = materialise(drawn.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+        redrawn = materialise(drawn.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+        drop(left)
+        left = redrawn
     # from the last level, the smallest, down: the root of a node is that of its parent
     root: DataFrame | None = None
     for parent in reversed(levels):
@@ -40,7 +42,9 @@ def components(edges: DataFrame) -> DataFrame:
             root = parent.select("u", F.col("p").alias("root"))
             continue
         above = root.select(F.col("u").alias("p"), "root")
-        root = materialise(parent.join(above, "p", "left").select("u", F.coalesce("root", "p").alias("root")), "roots")
+        whole = materialise(parent.join(above, "p", "left").select("u", F.coalesce("root", "p").alias("root")), "roots")
+        drop(root, parent)
+        root = whole
     if root is None:
         return nodes.select("node", mix("node").alias("root"))
     return nodes.join(root, mix("node") == F.col("u"), "left").select("node", F.coalesce("root", mix("node")).alias("root"))
